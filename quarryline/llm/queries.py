@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import minhash
+from quarryline.llm import minhash, spans
+from quarryline.llm.records import records
 from quarryline.sources.tables import table
 
 
+def _p3_batches(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The smaller table first: its run then is the history that the larger one is joined with."""
+    return [
+        records(table(spark, d, "cross_references"), "cross_references", "edge_id", "context"),
+        records(table(spark, d, "retrieve"), "retrieve", "id", "content"),
+    ]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.records_sharing(_p3_batches(spark, d))
+
+
+def p3_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_shares(_p3_batches(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return minhash.near_pairs(table(spark, d, "retrieve"), "id", "content", 0.70)
 
@@ -19,7 +36,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_groups)}
+    return {f.__name__: f for f in (p3_found, p3_shared, p5_found, p5_groups)}
 
 
 def oracle_sql() -> dict[str, str]:

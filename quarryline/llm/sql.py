@@ -10,6 +10,21 @@ shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM sh a JOIN sh b
 pairs AS (SELECT id_a, id_b FROM shared JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE k / (na.n + nb.n - k) >= 0.70)
 """
 
+_SPANS = """
+WITH recs AS (SELECT DISTINCT 'retrieve' AS rec_table, id AS rec_key, content AS x FROM retrieve WHERE id IS NOT NULL AND content IS NOT NULL
+              UNION ALL SELECT DISTINCT 'cross_references', CAST(edge_id AS VARCHAR), context FROM cross_references WHERE edge_id IS NOT NULL AND context IS NOT NULL),
+win AS (SELECT rec_table, rec_key, i, hash(substr(x, i, 160)) AS h FROM (SELECT *, unnest(range(1, length(x) - 158)) AS i FROM recs WHERE length(x) >= 160)),
+same AS (SELECT h FROM win GROUP BY h HAVING count(DISTINCT rec_table || ':' || rec_key) > 1),
+hit AS (SELECT DISTINCT rec_table, rec_key, i FROM win SEMI JOIN same USING (h))
+"""
+
 SQL = {
+    "p3_found": _SPANS + "SELECT DISTINCT rec_table, rec_key FROM hit",
+    "p3_shared": _SPANS
+    + """SELECT rec_table, rec_key, n_chars, coalesce(shared, 0) AS shared_chars
+FROM (SELECT rec_table, rec_key, max(length(x)) AS n_chars FROM recs GROUP BY ALL)
+LEFT JOIN (SELECT rec_table, rec_key, CAST(sum(least(160, gap)) AS BIGINT) AS shared
+           FROM (SELECT rec_table, rec_key, coalesce(i - lag(i) OVER (PARTITION BY rec_table, rec_key ORDER BY i), 160) AS gap FROM hit)
+           GROUP BY ALL) USING (rec_table, rec_key)""",
     "p5_found": _PAIRS + "SELECT id_a, id_b FROM pairs",
 }
