@@ -7,6 +7,7 @@ be lost at any time and what it held must be readable by the others.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,23 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As written(), bucketed and sorted by key: later joins and aggregations on it need no shuffle."""
+    spark = df.sparkSession
+    path, n = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    as_table = f"quarryline_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(as_table)
+    tidy(spark)
+    return spark.table(as_table)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of stages that nothing refers to any more; it otherwise waits for the driver's
+    heap to fill up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def release() -> None:
     """Remove the tables that this process wrote."""

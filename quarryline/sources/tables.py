@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Spark hand this package to its Python workers, once per application, so they need no installation."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    to = Path(tempfile.mkdtemp(prefix="quarryline-")) / "quarryline.zip"
+    to.write_bytes(data.getvalue())
+    spark.sparkContext.addPyFile(str(to))
+    _shipped.add(app)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the folder `sf_dir`; Catalyst prunes columns and pushes filters into the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
