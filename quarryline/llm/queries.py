@@ -5,12 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarryline.llm import minhash, spans
+from quarryline.llm import leximin, lookalike, minhash, pieces, spans
 from quarryline.llm.records import records
 from quarryline.sources.tables import table
 
 
+#: The scores that count in a query's ranking: mode and column.
+P1_SOURCES = {"bm25": "search_score", "dense": "search_score", "hybrid+rerank": "rerank_score"}
+
+
+def _p1_vectors(spark: SparkSession, d: str) -> DataFrame:
+    score = F.coalesce(*[F.when(F.col("mode") == mode, F.col(column)) for mode, column in P1_SOURCES.items()])
+    scores = table(spark, d, "retrieve").select(F.col("query_id").alias("grp"), F.col("id").alias("item"), F.col("mode").alias("source"), score.alias("score"))
+    return leximin.percentile_vectors(scores, list(P1_SOURCES))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return leximin.first_of(_p1_vectors(spark, d)).select(F.col("grp").alias("query_id"), F.col("item").alias("id"))
+
+
+def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
+    ranked = leximin.ranking(_p1_vectors(spark, d))
+    return ranked.select(F.col("grp").alias("query_id"), F.col("item").alias("id"), *[F.col("vector")[k].alias(f"p{k + 1}") for k in range(3)], "rank_no")
+
+
+def _p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "retrieve"), "id", "content", "char_start")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2_pieces(spark, d).select(F.col("key").alias("id")).distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _p2_pieces(spark, d).withColumnRenamed("key", "id")
+
+
 def _p3_batches(spark: SparkSession, d: str) -> list[DataFrame]:
     """The smaller table first: its run then is the history that the larger one is joined with."""
     return [
@@ -35,8 +67,22 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return minhash.near_groups(table(spark, d, "retrieve"), "id", "content", 0.70)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alikes(
+        table(spark, d, "api"), "citation_id", "source_quote", table(spark, d, "designed_slice_final"), "query_id", "answer_passage"
+    )
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every quote and passage with its consistent form."""
+    quotes = table(spark, d, "api").select(F.lit("api").alias("rec_table"), F.col("citation_id").cast("long").alias("rec_id"), F.col("source_quote").alias("text"))
+    passages = table(spark, d, "designed_slice_final").select(F.lit("designed_slice_final").alias("rec_table"), F.col("query_id").cast("long").alias("rec_id"), F.col("answer_passage").alias("text"))
+    both = quotes.unionByName(passages).distinct()
+    return lookalike.canonical(both, "text", "form", lookalike.rewriting(lookalike.frequencies(both))).select("rec_table", "rec_id", "form")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_shared, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_forms, p5_found, p5_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
