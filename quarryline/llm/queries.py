@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import leximin, lookalike, minhash, pieces, spans
+from quarryline.llm import leak, leximin, lookalike, minhash, pieces, sentences, spans
 from quarryline.llm.records import records
 from quarryline.sources.tables import table
 
@@ -81,8 +81,21 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(both, "text", "form", lookalike.rewriting(lookalike.frequencies(both))).select("rec_table", "rec_id", "form")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "lang", "doc_id", "text")
+
+
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item that leaked, with the number of documents that hold a part of it."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("docs"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_forms, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_forms, p5_found, p5_groups, p7_found, p7_leaked_items, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
