@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import leak, leximin, lookalike, minhash, pieces, sentences, spans
+from quarryline.llm import bpe, leak, leximin, lookalike, minhash, pieces, sentences, spans
 from quarryline.llm.records import records
 from quarryline.sources.tables import table
 
@@ -81,6 +81,10 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(both, "text", "form", lookalike.rewriting(lookalike.frequencies(both))).select("rec_table", "rec_id", "form")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "lang", "doc_id", "text")
 
@@ -95,7 +99,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_forms, p5_found, p5_groups, p7_found, p7_leaked_items, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_forms, p5_found, p5_groups, p6_ids, p7_found, p7_leaked_items, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
