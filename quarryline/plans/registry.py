@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+MODULES = ["text_queries", "eval_queries"]
+
+
+def _modules() -> list:
+    return [importlib.import_module(f"quarryline.plans.{m}") for m in MODULES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {q.__name__: q for m in _modules() for q in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v for m in _modules() for k, v in m.SQL.items()}
