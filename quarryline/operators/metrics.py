@@ -88,11 +88,16 @@ def exact_binomial(less: Column, more: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.aggregate(steps, term, add)["s"])
 
 
-def mcnemar(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
-    """(both, a_only, b_only, neither, p) over the queries that have an outcome in both."""
-    x, y = (o.select("query_id", hit(limit).alias(f"hit_{c}")) for o, c in ((a, "a"), (b, "b")))
-    count = lambda p, q: F.count_if((F.col("hit_a") == p) & (F.col("hit_b") == q))
-    four = x.join(y, "query_id").agg(count(True, True).alias("both"), count(True, False).alias("a_only"), count(False, True).alias("b_only"), count(False, False).alias("neither"))
+def mcnemar(out: DataFrame, side: str, pairs: list[tuple[str, str]], limit: int) -> DataFrame:
+    """(a, b, both, a_only, b_only, neither, p) for each pair of values of the column `side`, over the queries that have an
+    outcome with either value. One pass over the outcomes for all pairs."""
+    values = sorted({v for pair in pairs for v in pair})
+    wide = out.groupBy("query_id").agg(*[F.max(F.when(F.col(side) == v, hit(limit))).alias(f"__{i}") for i, v in enumerate(values)])
+    col = lambda v: F.col(f"__{values.index(v)}")
+    each = wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), col(a).alias("x"), col(b).alias("y")) for a, b in pairs])).alias("s")).select("s.*")
+    four = each.where("x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b").agg(
+        F.count_if(F.expr("x AND y")).alias("both"), F.count_if(F.expr("x AND NOT y")).alias("a_only"), F.count_if(F.expr("NOT x AND y")).alias("b_only"), F.count_if(F.expr("NOT x AND NOT y")).alias("neither")
+    )
     return four.withColumn("p", F.round(exact_binomial(F.col("a_only"), F.col("b_only")), 6))
 
 
@@ -116,8 +121,8 @@ def floor_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str,
     """(...by, n, ...points): of each group's sorted values the one at index min(n - 1, int(p * n)); nulls are left out.
 
     Rows are numbered by ranges of values, so a group may hold any share of them."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("__tie", F.monotonically_increasing_id())
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v")).withColumn("__tie", F.monotonically_increasing_id())
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    placed = positions(rows, by, [F.col(value), F.col("__tie")], "__at").join(sizes, by)
-    wanted = [F.max(F.when(F.col("__at") == F.least(F.col("n"), F.floor(F.lit(p) * F.col("n")) + 1), F.col(value))).alias(name) for name, p in points.items()]
+    placed = positions(rows, by, [F.col("__v"), F.col("__tie")], "__at").join(sizes, by)
+    wanted = [F.max(F.when(F.col("__at") == F.least(F.col("n"), F.floor(F.lit(p) * F.col("n")) + 1), F.col("__v"))).alias(name) for name, p in points.items()]
     return placed.groupBy(*by, "n").agg(*wanted)

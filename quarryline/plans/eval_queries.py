@@ -25,8 +25,8 @@ ov AS (SELECT r.config, r.mode, r.query_id, span_no, s.span_start AS a, s.span_e
        FROM r JOIN s ON r.query_id = s.query_id AND r.doc_id = s.s.doc_id WHERE least(char_end, s.span_end) > greatest(char_start, s.span_start)),
 pos AS (SELECT config, mode, query_id, span_no, a, b, p, min(rank) AS rank FROM (SELECT *, unnest(range(lo, hi)) AS p FROM ov) GROUP BY ALL),
 cum AS (SELECT config, mode, query_id, span_no, a, b, rank, sum(count(*)) OVER (PARTITION BY config, mode, query_id, span_no ORDER BY rank) AS c FROM pos GROUP BY config, mode, query_id, span_no, a, b, rank),
-sr AS (SELECT config, mode, query_id, span_no, min(rank) AS at FROM cum WHERE c / greatest(1, b - a) >= 0.8::DOUBLE GROUP BY ALL),
-q AS (SELECT config, mode, query_id, count(*) AS met, max(at) AS last, min(at) AS first FROM sr GROUP BY ALL),
+sr AS (SELECT config, mode, query_id, span_no, min(rank) AS ar FROM cum WHERE c / greatest(1, b - a) >= 0.8::DOUBLE GROUP BY ALL),
+q AS (SELECT config, mode, query_id, count(*) AS met, max(ar) AS last, min(ar) AS first FROM sr GROUP BY ALL),
 o1 AS (SELECT n.config, n.mode, n.query_id, g.query_type, n.results::INTEGER AS results,
          (CASE WHEN require = 'any' THEN first WHEN len(spans) = 0 THEN 1 WHEN met = len(spans) THEN last END)::INTEGER AS rank
        FROM (SELECT config, mode, query_id, count(*) AS results FROM r GROUP BY ALL) n JOIN g USING (query_id) LEFT JOIN q ON q.config = n.config AND q.mode = n.mode AND q.query_id = n.query_id),
@@ -102,7 +102,7 @@ TYPES = ["exact_id", "keyword", "multi_hop", "natural", "supersession"]
 
 def subgroup_pivot(spark, d):
     """Recall of each mode by query type; a type that a mode has no query of is null."""
-    return _outcomes(spark, d).groupBy("mode").pivot("query_type", TYPES).agg(F.round(F.count_if(M.hit(K)) / F.count("*"), 6))
+    return _outcomes(spark, d).groupBy("mode").pivot("query_type", TYPES).agg(F.round(F.count_if(M.hit(K)) / F.count(F.lit(1)), 6))
 
 
 SQL["subgroup_pivot"] = _OUT + "SELECT mode, " + ", ".join(f"round(count(*) FILTER (rank <= {K} AND query_type = '{t}') / nullif(count(*) FILTER (query_type = '{t}'), 0), 6) AS {t}" for t in TYPES) + " FROM o GROUP BY mode"
@@ -112,12 +112,7 @@ PAIRS = [("bm25", "hybrid"), ("dense", "hybrid"), ("hybrid", "hybrid+rerank"), (
 
 
 def mcnemar(spark, d):
-    out = _outcomes(spark, d)
-    rows = None
-    for a, b in PAIRS:
-        one = M.mcnemar(out.where(F.col("mode") == a), out.where(F.col("mode") == b), K).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    return M.mcnemar(_outcomes(spark, d), "mode", PAIRS, K)
 
 
 SQL["mcnemar"] = _OUT + """, h AS (SELECT mode, query_id, coalesce(rank <= 5, false) AS hit FROM o),
@@ -167,13 +162,23 @@ SQL["rerank"] = _RANKED + "SELECT config, query_id, id, rank, row_number() OVER
 
 
 def rerank_compare(spark, d):
-    """The reranked lists against their order before reranking, by their own scores: recall, gained, lost and p."""
+    """The reranked lists against the order that they came in: recall before and after, gained and lost queries, p."""
     g = M.gold(table(spark, d, "designed_slice_final"))
     lists = _lists(spark, d).where("mode = 'hybrid+rerank'")
-    after = search.rerank(lists, ["config", "query_id"], "rerank_score", "rank").drop("rank").withColumnRenamed("new_rank", "rank")
-    a, b = M.outcomes(lists, g), M.outcomes(after, g)
-    recall = lambda o, name: o.agg(F.round(F.count_if(M.hit(K)) / F.count("*"), 6).alias(name))
-    return M.mcnemar(a, b, K).crossJoin(recall(a, "recall_before")).crossJoin(recall(b, "recall_after"))
+    after = search.rerank(lists, ["config", "query_id"], "rerank_score", "rank").withColumns({"rank": F.col("new_rank"), "mode": F.lit("after")}).drop("new_rank")
+    out = M.outcomes(lists.withColumn("mode", F.lit("before")).unionByName(after), g)
+    four = M.mcnemar(out, "mode", [("before", "after")], K)
+    n = F.col("both") + F.col("a_only") + F.col("b_only") + F.col("neither")
+    return four.select(F.round((F.col("both") + F.col("a_only")) / n, 6).alias("recall_before"), F.round((F.col("both") + F.col("b_only")) / n, 6).alias("recall_after"), F.col("a_only").alias("lost"), F.col("b_only").alias("gained"), "p")
+
+
+SQL["rerank_compare"] = (
+    _OUT.replace("r0 AS (", "r00 AS (").replace("r AS (SELECT * FROM r0 WHERE rank <= 20)", """r1 AS (SELECT * FROM r00 WHERE rank <= 20 AND mode = 'hybrid+rerank'),
+r AS (SELECT * REPLACE ('before' AS mode) FROM r1 UNION ALL SELECT * REPLACE ('after' AS mode, row_number() OVER (PARTITION BY config, query_id ORDER BY rerank_score DESC NULLS LAST, rank) AS rank) FROM r1)""")
+    + """, w AS (SELECT query_id, bool_or(rank <= 5) FILTER (mode = 'before') IS TRUE AS x, bool_or(rank <= 5) FILTER (mode = 'after') IS TRUE AS y FROM o GROUP BY query_id),
+c AS (SELECT count(*) AS n, count(*) FILTER (x) AS nx, count(*) FILTER (y) AS ny, count(*) FILTER (x AND NOT y) AS lost, count(*) FILTER (y AND NOT x) AS gained FROM w)
+SELECT round(nx / n, 6) AS recall_before, round(ny / n, 6) AS recall_after, lost, gained, round(least(1.0, 2 * list_sum(list_transform(range(0, least(lost, gained) + 1), lambda i: exp(lgamma(lost + gained + 1) - lgamma(i + 1) - lgamma(lost + gained - i + 1) - (lost + gained) * ln(2))))), 6) AS p FROM c"""
+)
 
 
 def truncation_stats(spark, d):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["text_queries", "eval_queries"]
+MODULES = ["text_queries", "eval_queries", "corpus_queries"]
 
 
 def _modules() -> list:
