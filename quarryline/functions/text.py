@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns that both Java and RE2 read alike. `\\s` and `\\w` of either know ASCII only, so classes are spelt out.
-GAP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+GAP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]+"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 DATE = rf"({MONTHS}){GAP}+([0-9]{{1,2}}),?{GAP}+([0-9]{{4}})"
@@ -104,7 +104,7 @@ def bound(value: Column, use) -> Column:
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct n-word windows; none for fewer words."""
     windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return bound(words(text), lambda w: F.when(F.size(w) >= n, F.array_distinct(windows(w))).otherwise(F.array().cast("array<string>")))
+    return bound(words(text), lambda w: F.when(F.size(w) >= n, F.array_distinct(windows(w))).when(w.isNotNull(), F.array().cast("array<string>")))
 
 
 def own_serial(doc_id: Column, text: Column) -> Column:
