@@ -57,7 +57,7 @@ REFERENCE = re.compile(r"\S*[\d/]")
 ORDINAL = re.compile(r"\d{1,2}$")
 DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]$")
 UNIT_BEFORE = re.compile(r"[\d)]\s*$")
-SPACED = re.compile(r"((?:[^\W\d_]{1,2}\.\s?)+)$")
+SPACED = re.compile(r"(?<![^\W_])((?:[^\W\d_]\.\s?)+)$")
 
 
 class Trie:
@@ -173,7 +173,7 @@ def _ends_sentence(text: str, lo: int, start: int, p: int, q: int, e: int, hi: i
                 return _MAY.ends(text, p, lo) and "@" not in rest and len(word) > 1 and not rest[1:2] == "."
     if kind == "lower":
         return False
-    if word.lower() in ("no", "n") and kind in ("upper", "number") and REFERENCE.match(text, ne, hi):
+    if word.lower() in ("no", "n") and REFERENCE.match(text, ne, hi):
         return False
     if kind == "upper" and ORDINAL.fullmatch(word) and (m := WORD.match(text, ne, hi)) and m.group() in MONTHS:
         return False
@@ -229,8 +229,9 @@ def _block(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
             closed = False
             while e < hi:
                 at = e
-                if text[e] in "     " and e + 1 < hi and text[e + 1] in "»›" and any(o in "«‹" for o in stack):
-                    at = e + 1
+                if text[e].isspace() and any(o in "«‹" for o in stack):
+                    to = GAP.match(text, e, hi).end()
+                    at = to if to < hi and text[to] in "»›" else e
                 c2 = text[at]
                 if c2 == '"' and '"' in stack and at in places:
                     stack.remove('"')
