@@ -52,6 +52,7 @@ BLANK = re.compile(r"(?:\r\n|\n|\r)(?:[^\S\n\r]*(?:\r\n|\n|\r))+")
 NUMBERED = re.compile(r"(?:\((?:[A-Za-z]|[ivxIVX]{1,5}|\d{1,3})\)|\d{1,3}(?:\.\d{1,3})*[.)]|[A-Za-z]\))(?=\s)\s*")
 TOKEN = re.compile(r"[^\s\"“”„«»‹›「」『』（(\[【]+$")
 GAP = re.compile(r"[\s﻿]*")
+CELL = re.compile(r"(?:^|\s)\|(?:\s|$)|\S\t+\S")
 WORD = re.compile(r"[^\W\d_]+")
 REFERENCE = re.compile(r"\S*[\d/]")
 ORDINAL = re.compile(r"\d{1,2}$")
@@ -92,8 +93,9 @@ _SPACED_ON = {"z.b", "d.h", "i.h.v", "i.h", "u.u", "т.е", "т.к", "p.ej", "p.
 
 
 def _is_table(block: str) -> bool:
+    """Whether at least half of the lines have cells, parted by bars that stand free or by tabs."""
     lines = block.split("\n")
-    return sum("|" in x or "\t" in x.strip() for x in lines) * 2 > len(lines) or (len(lines) > 1 and sum("|" in x for x in lines) * 2 >= len(lines))
+    return sum(CELL.search(x.strip()) is not None for x in lines) * 2 >= len(lines)
 
 
 def _matched(events: list[re.Match], text: str) -> set[int]:
