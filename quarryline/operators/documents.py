@@ -101,6 +101,16 @@ def locate_passages(pairs: DataFrame, text: str, passage: str) -> DataFrame:
     return out.withColumn("span_start", start.cast("int")).withColumn("span_end", (start + length).cast("int")).drop("__at", "__hit")
 
 
+def spans_in_chunks(spans: DataFrame, chunks: DataFrame, doc: str, low: str, high: str, cell: int = 1024) -> DataFrame:
+    """spans (doc, span_start, span_end, ...) with each chunk (doc, low, high, ...) that holds the whole span.
+
+    A range join by cells of a document: a chunk stands in each cell that it touches, a span in that of its start, so a document
+    that holds a third of all rows is spread over its cells and no span meets all of its chunks."""
+    at = spans.where("span_start IS NOT NULL").withColumn("__cell", F.expr(f"span_start div {cell}"))
+    own = chunks.where(f"{low} <= {high}").withColumn("__cell", F.explode(F.expr(f"sequence({low} div {cell}, {high} div {cell})")))
+    return at.join(own, [doc, "__cell"]).where(f"{low} <= span_start AND span_end <= {high}").drop("__cell")
+
+
 def table_twins(spans: DataFrame, docs: DataFrame, key: str, text: str, least: int = 4, most_lines: int = 4) -> DataFrame:
     """(span key, key, twin_start, twin_end) for spans (span_key, key, span_start, span_end) of documents: the first window of
     one to `most_lines` whole lines, the narrowest first, outside the span and with the same value tokens, its indent left out.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import words
+from quarryline.shared import scratch_path
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Query vectors that a task holds at a time.
@@ -39,54 +40,40 @@ def bm25(queries: DataFrame, query_id: str, query: str, docs: DataFrame, doc_id:
 
 
 def nearest(vectors: DataFrame, key: str, vector: str, asked: Column, k: int = 20) -> DataFrame:
-    """(query_id, key, score, rank): of every asked row the k others of greatest cosine, ties by key. Exhaustive: query vectors
-    go to the tasks in blocks of fixed size, and each task keeps the best k of its rows for each. Null vectors and vectors of
-    length zero have no neighbours."""
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).distinct()
-    spark = vectors.sparkSession
-
-    def best(queries: np.ndarray, of: np.ndarray):
-        def run(batches):
-            for b in batches:
-                keys = b.column("key").to_numpy()
-                v = np.array(b.column("v").to_pylist(), float).reshape(len(keys), -1)
-                size = np.linalg.norm(v, axis=1)
-                keys, v = keys[size > 0], v[size > 0] / size[size > 0, None]
-                if not len(keys):
-                    continue
-                score = np.round(queries @ v.T, 6)
-                score[of[:, None] == keys[None, :]] = -2
+    """(query_id, key, score, rank): of every asked row the k others of greatest cosine, ties by key. Exhaustive: the asked rows are
+    a table in the shared folder that each task reads in blocks of fixed size against its own rows, of which it passes
+    on the best k of each; nothing goes through the driver. Null vectors and vectors of length zero have no neighbours."""
+    unit = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).distinct()
+    path = scratch_path(vectors.sparkSession, "queries")
+    unit(vectors.where(asked)).write.parquet(path)
+
+    def matrix(keys, lists) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and unit vectors."""
+        of, v = keys.to_numpy(zero_copy_only=False), np.array(lists.to_pylist(), float).reshape(len(keys), -1)
+        size = np.linalg.norm(v, axis=1)
+        return of[size > 0], v[size > 0] / size[size > 0, None]
+
+    def run(batches):
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        own = [matrix(b.column("key"), b.column("v")) for b in batches if b.num_rows]
+        if not sum(len(of) for of, _ in own):
+            return
+        keys, v = (np.concatenate([x[i] for x in own if len(x[0])]) for i in (0, 1))
+        where, at = fs.FileSystem.from_uri(path)
+        for block in ds.dataset(at, filesystem=where, format="parquet").to_batches(batch_size=BLOCK):
+            of, q = matrix(block.column("key"), block.column("v")) if block.num_rows else ((), ())
+            for i in range(0, len(of), 64):
+                score = np.round(q[i : i + 64] @ v.T, 6)
+                score[of[i : i + 64, None] == keys[None, :]] = -2
                 n = min(k, len(keys))
-                # Equal scores at the border are kept whole, so ties are settled by key afterwards.
+                # Equal scores at the border are kept whole, so that ties are settled by key afterwards.
                 least = np.partition(score, len(keys) - n, axis=1)[:, len(keys) - n]
-                q, at = np.nonzero((score >= least[:, None]) & (score > -2))
-                yield pa.RecordBatch.from_arrays([pa.array(of[q]), pa.array(keys[at]), pa.array(score[q, at])], names=["query_id", key, "score"])
-
-        return run
+                row, col = np.nonzero((score >= least[:, None]) & (score > -2))
+                yield pa.RecordBatch.from_arrays([pa.array(of[i + row]), pa.array(keys[col]), pa.array(score[row, col])], names=["query_id", key, "score"])
 
-    found = None
-    block: list = []
-    wanted = vectors.where(asked & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).distinct()
-
-    def flush():
-        nonlocal found, block
-        of, v = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], float)
-        size = np.linalg.norm(v, axis=1)
-        of, v = of[size > 0], v[size > 0] / size[size > 0, None]
-        if len(of):
-            part = rows.mapInArrow(best(v, of), f"query_id long, {key} long, score double")
-            found = part if found is None else found.unionByName(part)
-        block = []
-
-    for r in wanted.toLocalIterator():
-        block.append((r["key"], r["v"]))
-        if len(block) == BLOCK:
-            flush()
-    if block:
-        flush()
-    if found is None:
-        return spark.createDataFrame([], f"query_id long, {key} long, score double, rank int")
-    return _top(found, ["query_id"], key, k)
+    return _top(unit(vectors).mapInArrow(run, f"query_id long, {key} long, score double"), ["query_id"], key, k)
 
 
 def fuse(lists: DataFrame, by: list[str], item: str, rank: str, k: int = 20) -> DataFrame:

@@ -321,7 +321,7 @@ def span_repair(spark, d):
     as it stands there, the passage kept beside it."""
     g = table(spark, d, "designed_slice_final").where("size(gold_spans) = 1").select("query_id", "answer_passage", F.col("gold_spans")[0].alias("s")).select("query_id", "answer_passage", "s.*").distinct()
     chunks = table(spark, d, "retrieve").where("content IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("char_start").alias("cs"), F.min("content").alias("content"))
-    here = g.join(chunks, "doc_id").where("cs <= span_start AND span_end <= cs + length(content)")
+    here = D.spans_in_chunks(g, chunks.withColumn("ce", F.col("cs") + F.length("content")), "doc_id", "cs", "ce")
     text = F.expr("substring(content, span_start - cs + 1, span_end - span_start)")
     return here.groupBy("query_id", "answer_passage").agg(F.min(text).alias("repaired")).where(~F.col("repaired").eqNullSafe(F.col("answer_passage"))).select("query_id", "repaired", F.col("answer_passage").alias("original"))
 

@@ -182,14 +182,12 @@ SQL["header_spans"] = "SELECT DISTINCT query_id, s.doc_id AS doc_id, s.span_star
 
 
 def question_types(spark, d):
-    """Of each document's questions all but the last are natural, the last a keyword question, and the first exact-id as well."""
-    from pyspark.sql import Window
-
+    """Of each document's questions all but the last are natural, the last a keyword question, and the first exact-id as well.
+    The ends of a document's questions are reduced and joined back: no document's questions are gathered."""
     g = table(spark, d, "designed_slice_final").where("size(gold_spans) > 0").select("query_id", F.col("gold_spans")[0]["doc_id"].alias("doc_id")).distinct()
-    w = Window.partitionBy("doc_id")
-    at, n = F.row_number().over(w.orderBy("query_id")), F.count("*").over(w)
-    kinds = F.array_compact(F.array(F.when(at == n, "keyword").otherwise("natural"), F.when(at == 1, "exact_id")))
-    return g.select("query_id", "doc_id", kinds.alias("kinds")).select("query_id", "doc_id", F.explode("kinds").alias("kind"))
+    ends = g.groupBy("doc_id").agg(F.min("query_id").alias("first"), F.max("query_id").alias("last"))
+    kinds = F.array_compact(F.array(F.when(F.col("query_id") == F.col("last"), "keyword").otherwise("natural"), F.when(F.col("query_id") == F.col("first"), "exact_id")))
+    return g.join(ends, "doc_id").select("query_id", "doc_id", F.explode(kinds).alias("kind"))
 
 
 SQL["question_types"] = """WITH g AS (SELECT DISTINCT query_id, gold_spans[1].doc_id AS doc_id FROM designed_slice_final WHERE len(gold_spans) > 0),
