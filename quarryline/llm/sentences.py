@@ -47,17 +47,20 @@ PARTICLES = "とはがをにでものやへよなっだ"
 STARTERS = ("とくに", "ところ", "とはいえ", "ともあれ", "はじめ", "でも", "では", "ですが", "もし", "もっとも", "もちろん", "なお", "なぜ", "なかでも", "だが", "だから", "にもかかわらず", "やがて", "よって", "のち")
 
 STRONG = "。！？｡।॥؟۔!?"
-EVENT = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + "]|[.…" + STRONG + "]+|(?<=[ก-ฺเ-๎])[^\\S\\n\\r]+(?=[ก-ฺเ-๎])")
+_MARKS = ".…" + STRONG
+#: A pair's mark alone, or a run of closing marks; one class of first characters, so that the search skips to them.
+EVENT = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + _MARKS + "](?:(?<=[" + _MARKS + "])[" + _MARKS + "]+)?")
+THAI = re.compile("[ก-ฺเ-๎]")
+THAI_GAP = re.compile("(?<=[ก-ฺเ-๎])[^\\S\\n\\r]+(?=[ก-ฺเ-๎])")
 BLANK = re.compile(r"(?:\r\n|\n|\r)(?:[^\S\n\r]*(?:\r\n|\n|\r))+")
 NUMBERED = re.compile(r"(?:\((?:[A-Za-z]|[ivxIVX]{1,5}|\d{1,3})\)|\d{1,3}(?:\.\d{1,3})*[.)]|[A-Za-z]\))(?=\s)\s*")
-TOKEN = re.compile(r"[^\s\"“”„«»‹›「」『』（(\[【]+$")
+OPENER = re.compile(r".*[\"“”„«»‹›「」『』（(\[【]", re.S)
 GAP = re.compile(r"[\s﻿]*")
 CELL = re.compile(r"(?:^|\s)\|(?:\s|$)|\S\t+\S")
 WORD = re.compile(r"[^\W\d_]+")
 REFERENCE = re.compile(r"\S*[\d/]")
 ORDINAL = re.compile(r"\d{1,2}$")
 DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]$")
-UNIT_BEFORE = re.compile(r"[\d)]\s*$")
 SPACED = re.compile(r"(?<![^\W_])((?:[^\W\d_]\.\s?)+)$")
 
 
@@ -141,6 +144,19 @@ def _starts(text: str, at: int, end: int) -> str:
     return "uncased" if c.isalpha() or _is_mark(c) else "other"
 
 
+def _word_before(text: str, lo: int, p: int) -> str:
+    """What stands before `p` without a gap, quotation mark or opening bracket in between; no more than 40 characters of it."""
+    part = text[max(lo, p - 40) : p]
+    if not part or part[-1].isspace():
+        return ""
+    return OPENER.sub("", part.split()[-1])
+
+
+def _after_number(text: str, lo: int, p: int) -> bool:
+    """Whether a number, or a bracket's end, stands before `p`, gaps aside: a letter there is a unit."""
+    return text[max(lo, p - 8) : p].rstrip()[-1:] in tuple("0123456789)")
+
+
 def _ends_sentence(text: str, lo: int, start: int, p: int, q: int, e: int, hi: int, closed: bool) -> bool:
     """Whether the marks [p, q), with closing marks up to e, end the sentence that began at `start`."""
     ne = GAP.match(text, e, hi).end()
@@ -162,8 +178,7 @@ def _ends_sentence(text: str, lo: int, start: int, p: int, q: int, e: int, hi: i
     # A period.
     if closed and kind == "lower":
         return False
-    token = TOKEN.search(text, max(lo, p - 40), p)
-    word = token.group() if token else ""
+    word = _word_before(text, lo, p)
     if not gap and e == q:
         if kind == "clause":
             return bool(word) and word[-1].isalpha()
@@ -179,16 +194,15 @@ def _ends_sentence(text: str, lo: int, start: int, p: int, q: int, e: int, hi: i
         return False
     if kind == "upper" and ORDINAL.fullmatch(word) and (m := WORD.match(text, ne, hi)) and m.group() in MONTHS:
         return False
-    if spaced := SPACED.search(text, max(lo, p - 12), p + 1):
+    if len(word) == 1 and (spaced := SPACED.search(text, max(lo, p - 12), p + 1)):
         letters = re.sub(r"\s", "", spaced.group()).lower().rstrip(".")
         if any(letters.endswith(x) for x in _SPACED_ON):
             return False
     if _ON.ends(text, p, lo):
-        unit = len(word) == 1 and word.islower() and UNIT_BEFORE.search(text, lo, p - 1) is not None
-        if not unit:
+        if not (len(word) == 1 and word.islower() and _after_number(text, lo, p - 1)):
             return False
     short = len(word) == 1 and word.isalpha()
-    if short and not UNIT_BEFORE.search(text, lo, p - 1):
+    if short and not _after_number(text, lo, p - 1):
         dotted = SPACED.search(text, max(lo, p - 12), p + 1)
         if not (dotted and dotted.group().count(".") > 1 and not re.compile(r"[^\W\d_]\.").match(text, ne)):
             return False
@@ -197,13 +211,15 @@ def _ends_sentence(text: str, lo: int, start: int, p: int, q: int, e: int, hi: i
     return kind != "aside" or word[-1:] != "."
 
 
-def _block(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+def _block(text: str, lo: int, hi: int, thai: bool) -> list[tuple[int, int]]:
     out, start = [], GAP.match(text, lo, hi).end()
     if start >= hi:
         return out
     if _is_table(text[start:hi]):
         return [(start, start + len(text[start:hi].rstrip()))]
     events = list(EVENT.finditer(text, start, hi))
+    if thai:
+        events = sorted([*events, *THAI_GAP.finditer(text, start, hi)], key=re.Match.start)
     matched = _matched(events, text) if events else set()
     stack: list[str] = []
     m = NUMBERED.match(text, start, hi)
@@ -261,11 +277,11 @@ def _block(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """[start, end) of each sentence, without white space around it."""
-    out, lo = [], 0
+    out, lo, thai = [], 0, THAI.search(text) is not None
     for m in BLANK.finditer(text):
-        out += _block(text, lo, m.start())
+        out += _block(text, lo, m.start(), thai)
         lo = m.end()
-    return out + _block(text, lo, len(text))
+    return out + _block(text, lo, len(text), thai)
 
 
 def _run(batches):
