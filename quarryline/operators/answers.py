@@ -14,6 +14,7 @@ from quarryline.functions.unicode import fold
 
 # What is wrong with a citation, in the order of the tests.
 UNKNOWN, EMPTY, ABSENT = "cites a chunk that was not retrieved", "empty quote", "quote does not appear in the cited chunk"
+CAUSES = ("unicode only", "spans two chunks", "near miss", "not present")
 # Thresholds as (section, name, bound, limit, on_breach).
 THRESHOLDS = [
     ("retrieval", "recall_at_5", "min", 0.90, "block"),

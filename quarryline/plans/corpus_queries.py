@@ -48,6 +48,16 @@ SELECT a AS doc_a, b AS doc_b, round(k / (x.n + y.n - k), 6) AS jaccard, p.copie
 FROM k JOIN n x ON x.doc = a JOIN n y ON y.doc = b JOIN t p ON p.doc = a JOIN t q ON q.doc = b WHERE k / (x.n + y.n - k) >= 0.8"""
 
 
+def corpus_verdict(spark, d):
+    """Whether the corpus passes: no identity failures and no exact duplicates; near duplicates only warn."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    three = count(corpus_identity(spark, d), "identity").crossJoin(count(exact_duplicates(spark, d), "duplicates")).crossJoin(count(near_duplicates(spark, d), "near"))
+    return three.withColumn("passed", (F.col("identity") + F.col("duplicates")) == 0)
+
+
+SQL["corpus_verdict"] = f"""SELECT identity, duplicates, near, identity + duplicates = 0 AS passed FROM (SELECT count(*) AS identity FROM ({SQL["corpus_identity"]})), (SELECT count(*) AS duplicates FROM ({SQL["exact_duplicates"]})), (SELECT count(*) AS near FROM ({SQL["near_duplicates"]}))"""
+
+
 def citation_edges(spark, d):
     """With serials from three digits on: these documents cite none of the default four."""
     serials = table(spark, d, "circulars").select("circular_id", T.doc_serial(F.col("circular_id")).alias("serial"))
@@ -199,7 +209,10 @@ def diagnose_citation(spark, d):
 
 
 def citation_causes(spark, d):
-    return A.causes(_verified(spark, d)).groupBy("cause").agg(F.count("*").alias("n"))
+    """Citations by cause, causes that none has with 0."""
+    found = A.causes(_verified(spark, d)).groupBy("cause").agg(F.count("*").alias("n"))
+    every = spark.createDataFrame([(c,) for c in A.CAUSES], "cause string")
+    return every.join(found, "cause", "left").select("cause", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def answered_refused(spark, d):
@@ -260,6 +273,31 @@ SQL["variance_flips"] = _V + """, q AS (SELECT DISTINCT answer_id, question FROM
 SELECT count(*) AS repeated, count(*) FILTER (a) AS answer_flips, count(*) FILTER (g) AS verdict_flips FROM b WHERE n > 1"""
 
 
+def variance_sample(spark, d):
+    """Thirty answers to be repeated, chosen by a hash of their id: the same ones whatever the order of rows."""
+    ids = table(spark, d, "api").where("answer_id IS NOT NULL").select("answer_id").distinct()
+    return ids.orderBy(F.md5(F.col("answer_id").cast("string").cast("binary")), "answer_id").limit(30)
+
+
+SQL["variance_sample"] = "SELECT answer_id FROM (SELECT DISTINCT answer_id FROM api WHERE answer_id IS NOT NULL) ORDER BY md5(answer_id::VARCHAR), answer_id LIMIT 30"
+
+
+def next_query_id(spark, d):
+    return table(spark, d, "designed_slice_final").agg((F.max("query_id") + 1).alias("next_id"))
+
+
+SQL["next_query_id"] = "SELECT max(query_id) + 1 AS next_id FROM designed_slice_final"
+
+
+def query_counts(spark, d):
+    """Gold queries by type, source and whether they are verified."""
+    q = table(spark, d, "designed_slice_final").select("query_id", "query_type", "query_source", "verified").distinct()
+    return q.groupBy("query_type", "query_source", "verified").agg(F.count("*").alias("n"))
+
+
+SQL["query_counts"] = "SELECT query_type, query_source, verified, count(*) AS n FROM (SELECT DISTINCT query_id, query_type, query_source, verified FROM designed_slice_final) GROUP BY ALL"
+
+
 def ungrounded_list(spark, d):
     """The first 20 ungrounded answers: a report's length."""
     return _gen(spark, d).where("answered AND NOT grounded").select("answer_id", "bad_citations").orderBy("answer_id").limit(20)
@@ -332,8 +370,8 @@ SELECT query_id, min(substr(content, s.span_start - cs + 1, s.span_end - s.span_
 GROUP BY query_id, answer_passage HAVING min(substr(content, s.span_start - cs + 1, s.span_end - s.span_start)) IS DISTINCT FROM answer_passage"""
 
 QUERIES = [
-    corpus_identity, exact_duplicates, near_duplicates, citation_edges, known_edges, subject_families, unchecked_serials, undated, stale_warning, table_twins,
+    corpus_identity, exact_duplicates, near_duplicates, corpus_verdict, citation_edges, known_edges, subject_families, unchecked_serials, undated, stale_warning, table_twins,
     chunk_fixed_256, chunk_fixed_512, chunk_recursive_512, chunk_build, chunk_verify, chunk_stats, verify_citations, answer_decision, diagnose_citation, citation_causes,
-    answered_refused, refusal_reasons, groundedness, groundedness_by_type, refusal_quad, gate3_rejections, variance_flips, ungrounded_list, gate_measured, threshold_verdicts,
+    answered_refused, refusal_reasons, groundedness, groundedness_by_type, refusal_quad, gate3_rejections, variance_flips, variance_sample, next_query_id, query_counts, ungrounded_list, gate_measured, threshold_verdicts,
     goldset_integrity, span_repair,
 ]
