@@ -135,22 +135,25 @@ class Rewriter:
         return re.sub(" +", " ", unicodedata.normalize("NFC", "".join(out))).strip(" ")
 
 
-def _count(batches):
-    names = members()
-    single = {ord(m): m for m in names if len(m) == 1}
-    total = np.zeros(sys.maxunicode + 1, np.int64)
-    for b in batches:
-        for t in b.column("text").to_pylist():
-            if t:
-                np.add.at(total, K.code_points(unicodedata.normalize("NFD", t)), 1)
-    hits = [c for c in np.flatnonzero(total) if c in single]
-    yield pa.RecordBatch.from_arrays([pa.array([single[c] for c in hits], pa.string()), pa.array(total[hits], pa.int64())], names=["member", "n"])
+def _counter(single: np.ndarray):
+    """Counts of the code points `single`, which come from the driver: a task then needs no class table of its own."""
+
+    def run(batches):
+        total = np.zeros(sys.maxunicode + 1, np.int64)
+        for b in batches:
+            for i, j in K.chunks(texts := [unicodedata.normalize("NFD", t) for t in b.column("text").to_pylist() if t]):
+                total += np.bincount(K.code_points("".join(texts[i:j])), minlength=len(total))
+        hits = single[total[single] > 0]
+        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in hits], pa.string()), pa.array(total[hits], pa.int64())], names=["member", "n"])
+
+    return run
 
 
 def frequencies(texts: DataFrame) -> dict[str, int]:
     """How often each class member of one code point occurs in all of texts (text); one row a member reaches the driver,
     so at most as many as there are class members."""
-    counted = texts.select("text").mapInArrow(_count, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
+    single = np.array(sorted(ord(m) for m in members() if len(m) == 1))
+    counted = texts.select("text").mapInArrow(_counter(single), "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
     return {r["member"]: r["n"] for r in counted.collect()}
 
 
