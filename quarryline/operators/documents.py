@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
+from quarryline.shared import written
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,7 +35,8 @@ def exact_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, same_as): every document whose text equals, but for white space, that of one with a lesser key: the least.
 
     The groups are reduced, not gathered: a text that a third of all documents share is one row before the join."""
-    hashed = docs.where(F.col(text).isNotNull()).select(key, F.sha2(F.trim(T.collapse(F.col(text))), 256).alias("digest"))
+    # Written once: the digests are read twice, the texts are not.
+    hashed = written(docs.where(F.col(text).isNotNull()).select(key, F.unhex(F.sha2(F.trim(T.collapse(F.col(text))), 256)).alias("digest")), "digests")
     first = hashed.groupBy("digest").agg(F.min(key).alias("same_as"), F.count("*").alias("n")).where("n > 1")
     return hashed.join(first, "digest").where(F.col(key) > F.col("same_as")).select(key, "same_as")
 
@@ -48,7 +50,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.9
     """
     texts = docs.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(key).alias("doc"), F.count("*").alias("copies"))
     sets = texts.select("doc", "copies", T.shingles(F.col(text), n).alias("s")).where(F.size("s") > 0)
-    sets = sets.select("doc", "copies", F.transform("s", lambda x: F.xxhash64(x)).alias("s"))
+    sets = written(sets.select("doc", "copies", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), "shingle-sets")
     one = sets.select("doc", F.size("s").alias("n"), F.explode("s").alias("h"))
     often = one.groupBy("h").agg(F.count("*").alias("df"))
     order = Window.partitionBy("doc").orderBy("df", "h")
