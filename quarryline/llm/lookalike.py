@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quarryline.llm import kernel as K
 
@@ -114,25 +115,31 @@ def rewriting(counts: dict[str, int]) -> dict[str, str]:
 
 
 class Rewriter:
-    """Texts in their consistent form, by a multi-pattern automaton over the class members that change."""
+    """Texts in their consistent form, by a multi-pattern automaton over the class members that change.
+
+    It runs over the stretches of a text that those members' characters can be in; elsewhere none can match."""
 
     def __init__(self, table: dict[str, str]) -> None:
+        changing = {m: to for m, to in table.items() if m != to}
         self.automaton = ahocorasick.Automaton()
-        for m, to in table.items():
-            if m != to:
-                self.automaton.add_word(m, (len(m), to))
+        for m, to in changing.items():
+            self.automaton.add_word(m, (len(m), to))
         self.automaton.make_automaton()
+        # All but ASCII characters that no changing member has: a small class, which the search passes over fast.
+        self.stretch = re.compile("[^" + "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in "".join(changing)) + "]+")
 
-    def __call__(self, text: str | None) -> str | None:
-        if text is None:
-            return None
-        text = unicodedata.normalize("NFD", text)
-        out, at = [], 0
+    def _rewritten(self, stretch: re.Match) -> str:
+        text, out, at = stretch.group(), [], 0
         for end, (n, to) in self.automaton.iter_long(text):
             out += (text[at : end + 1 - n], to)
             at = end + 1
-        out.append(text[at:])
-        return re.sub(" +", " ", unicodedata.normalize("NFC", "".join(out))).strip(" ")
+        return "".join([*out, text[at:]])
+
+    def __call__(self, text: str | None) -> str | None:
+        if text is None:
+            return None
+        plain = self.stretch.sub(self._rewritten, unicodedata.normalize("NFD", text))
+        return re.sub(" +", " ", unicodedata.normalize("NFC", plain)).strip(" ")
 
 
 def _counter(single: np.ndarray):
@@ -159,21 +166,15 @@ def frequencies(texts: DataFrame) -> dict[str, int]:
 
 def canonical(df: DataFrame, text: str, out: str, table: dict[str, str]) -> DataFrame:
     """df with `out`: the consistent form of `text` under a rewriting() table. Null stays null; empty and blank texts, and
-    such as consist of shapeless marks, become empty."""
-
-    def run(series):
-        import pandas as pd
+    such as consist of shapeless marks, become empty. A filter on `out` stays behind the rewriting, which then runs once."""
 
+    def run(batches):
         rewrite = Rewriter(table)
-        for s in series:
-            yield pd.Series([rewrite(t) for t in s], dtype=object)
-
-    from collections.abc import Iterator
-
-    import pandas as pd
+        for b in batches:
+            forms = pa.array([rewrite(t) for t in b.column(text).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, forms], names=[*b.schema.names, out])
 
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(run, "string")(F.col(text)))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 def look_alikes(a: DataFrame, a_key: str, a_text: str, b: DataFrame, b_key: str, b_text: str) -> DataFrame:
