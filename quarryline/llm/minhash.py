@@ -119,9 +119,13 @@ def _pairs_of(groups: DataFrame) -> DataFrame:
 def similar_classes(recs: DataFrame, threshold: float, k: int = SHINGLE, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """Of records(): membership (rec_table, rec_key, cls) and the class pairs (a, b, similarity), a < b, at or above threshold."""
     signed = written(recs.mapInArrow(_sign(k), SIGNED), "minhash-signatures")
-    classes = signed.groupBy("cls").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min(F.struct("rec_table", "rec_key")).alias("rep"))
+    classes = signed.groupBy("cls").agg(
+        F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands"), F.min(F.struct("rec_table", "rec_key")).alias("rep")
+    )
+    classes = written(classes, "minhash-classes")
 
-    banded = signed.select(F.explode("bands").alias("band"), "cls")
+    # From one row for each class: what is numbered and counted in a band are classes, however many records they have.
+    banded = classes.select(F.explode("bands").alias("band"), "cls")
     ranked = banded.withColumn("at", F.row_number().over(Window.partitionBy("band").orderBy("cls"))).where(F.col("at") <= bucket + 1)
     buckets = ranked.groupBy("band").agg(F.array_sort(F.collect_set("cls")).alias("members"), F.count("*").alias("rows")).where(F.size("members") > 1)
     buckets = written(buckets, "minhash-buckets")

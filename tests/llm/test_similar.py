@@ -40,6 +40,22 @@ def test_pairs_against_brute_force(spark, bucket):
     assert got == pairs_of(rows, 0.7)
 
 
+@pytest.mark.parametrize("copies, again, bucket", [(70, 1, 64), (2, 8, 2)])
+def test_class_of_many_rows_hides_no_variant(spark, copies, again, bucket):
+    """Copies of one text under more ids than a bucket holds, or one id delivered again in other tasks, beside variants."""
+    rnd = random.Random(72)  # the copied text is the least class of all
+    words = [f"w{rnd.randint(0, 300)}" for _ in range(80)]
+    rows = [(f"copy{i:02}", " ".join(words)) for i in range(copies)]
+    rows += [(f"near{i:02}", " ".join(words[: 5 * i] + [f"new{i}"] + words[5 * i :])) for i in range(14)]
+    df = spark.createDataFrame(rows * again, "id string, content string").repartition(4)
+    want = pairs_of(rows, 0.7)
+    got = {(r["id_a"], r["id_b"]) for r in M.near_pairs(df, "id", "content", 0.7, bucket=bucket).collect()}
+    assert got == want and ("copy00", "near13") in want
+    links = {k: sum(k in p for p in want) for k, _ in rows}
+    got = {r["id"]: (r["group_id"], r["links"]) for r in M.near_groups(df, "id", "content", 0.7, bucket=bucket).collect()}
+    assert got == {k: ("copy00", n) for k, n in links.items()}
+
+
 def test_groups(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [("c", base), ("a", base), ("b", base + " x y"), ("d", "z " * 9), ("e", "too few words"), ("f", "other " + " ".join(f"v{i}" for i in range(30)))]
