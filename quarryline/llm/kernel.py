@@ -31,6 +31,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """The value that mixed() gives x for."""
+    x = x ^ (x >> U64(32))
+    for _ in range(2):
+        x = x * U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+        x ^= x >> U64(32)
+    return x
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
     if len(_tables.get("pow", ())) < n:

@@ -103,15 +103,15 @@ def _combined(fp: np.ndarray, ctx: np.ndarray, rec: np.ndarray, start: np.ndarra
     )
 
 
-ASKED = "rec long, start int, low long, high long, windows array<long>"
+ASKED = "fp long, ctx long, low long, high long, windows array<long>"
 
 
 def _windows(span: int):
-    """Window hashes of the asked places of each text: from rows (rec, asked array of (start, n, low, high), text)."""
+    """Window hashes of the asked places of each text: from rows (asked array of (start, n, fp, ctx, low, high), text)."""
 
     def run(batches):
         for b in batches:
-            for rec, asked, text in zip(b.column("rec").to_pylist(), b.column("asked").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for asked, text in zip(b.column("asked").to_pylist(), b.column("text").to_pylist(), strict=True):
                 asked = [a for a in asked if a["start"] + a["n"] - 1 + span <= len(text)]
                 for some in _batched([(k, a["start"], text[a["start"] : a["start"] + a["n"] - 1 + span]) for k, a in enumerate(asked)]):
                     h, bounds = _joined(some)
@@ -120,10 +120,13 @@ def _windows(span: int):
                     at = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], counts)
                     of = [asked[k] for k, *_ in some]
                     hashes = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(K.span_hash(h, at, at + span).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([rec] * len(of), pa.int64()), pa.array([a["start"] for a in of], pa.int32())] + [pa.array([a[c] for a in of], pa.int64()) for c in ("low", "high")] + [hashes],
-                        names=["rec", "start", "low", "high", "windows"],
-                    )
+                    asks = pa.RecordBatch.from_arrays(
+                        [pa.array([a[c] for a in of], pa.int64()) for c in ("fp", "ctx", "low", "high")] + [hashes], names=["fp", "ctx", "low", "high", "windows"]
+                    )
+                    # Of a record with several texts only that which holds the asked one: ctx less its hash is the gram's place.
+                    ctx = np.array([a["ctx"] for a in of], np.int64).view(np.uint64)
+                    rest = K.unmixed(ctx) - K.span_hash(h, bounds[:-1], bounds[1:]) - (counts - 1).astype(np.uint64)
+                    yield asks.filter(pa.array((rest % K.U64(65536) == 0) & (rest // K.U64(65536) < span)))
 
     return run
 
@@ -182,14 +185,15 @@ def shared_intervals(batches: list[DataFrame], span: int = SPAN, gram: int = GRA
         hits.groupBy("fp", "ctx").agg(F.min(F.expr(_LOW)).alias("low"), F.max(F.expr(_HIGH)).alias("high"), F.min(F.struct("rec", "start", "n")).alias("rep")), "span-texts"
     )
     full = hits.join(texts.where("low <> high").select("fp", "ctx"), ["fp", "ctx"], "left_semi")
-    whole = full.select("n", F.explode(F.expr("concat(array(struct(rec, start)), coalesce(others, array()))")).alias("at")).select("at.rec", "at.start", "n")
+    each = F.explode(F.expr("concat(array(struct(rec, start)), coalesce(others, array()))")).alias("at")
+    whole = full.select("n", each).select("at.rec", "at.start", "n")
 
     # Texts of one record only, beside other texts with the fingerprint: window by window, each text once.
     open_fps = texts.groupBy("fp").agg(F.count("*").alias("texts"), F.min(F.expr("low <> high")).alias("all_whole")).where("texts > 1 AND NOT all_whole")
     asked = (
         texts.join(open_fps.select("fp"), "fp", "left_semi")
         .groupBy(F.col("rep.rec").alias("rec"))
-        .agg(F.collect_set(F.struct(F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), "low", "high")).alias("asked"))
+        .agg(F.collect_set(F.struct(F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), "fp", "ctx", "low", "high")).alias("asked"))
     )
     # A record delivered again in another task gives its windows twice; that changes no least and greatest record.
     places = written(recs.join(asked, "rec").groupBy("rec", "text").agg(F.first("asked").alias("asked")).mapInArrow(_windows(span), ASKED), "span-windows")
@@ -198,9 +202,14 @@ def shared_intervals(batches: list[DataFrame], span: int = SPAN, gram: int = GRA
         .groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("greatest"))
         .where("least <> greatest").select("window")
     )
+    # They were looked at where each text stands first; what is shared of it is shared wherever the text stands.
+    parts = (
+        places.where("low = high").select("fp", "ctx", F.posexplode("windows").alias("k", "window"))
+        .join(same, "window", "left_semi").groupBy("fp", "ctx").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    )
     single = (
-        places.where("low = high").select("rec", "start", F.posexplode("windows").alias("k", "window"))
-        .join(same, "window", "left_semi").select("rec", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"))
+        hits.join(parts, ["fp", "ctx"]).select("ks", each).select("at.rec", "at.start", "ks").distinct()
+        .select("rec", "start", F.explode("ks").alias("k")).select("rec", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"))
     )
     return whole.unionByName(single).select("rec", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + span).alias("hi"))
 

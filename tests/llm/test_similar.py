@@ -106,6 +106,20 @@ def test_spans_against_brute_force(spark, monkeypatch):
     assert {r["rec_key"] for r in S.records_sharing(halves, 30, 12).collect()} == {k for k, n in want.items() if n}
 
 
+@pytest.mark.parametrize("span, gram", [(160, 96), (30, 12)])
+def test_passage_repeated_in_equal_surroundings(spark, span, gram):
+    """Each place of the passage counts, in one row of the index or in rows of several batches."""
+    rnd = random.Random(span)
+    a, p, b, x, c, d = ("".join(rnd.choices("abcdefgh", k=n)) for n in (span, span + 20, span, 50, 70, 70))
+    rows = [("r", a + p + b + x + a + p + b), ("s", c + p + d), ("t", d[:20] + x[:9] + c[:20])]
+    df = spark.createDataFrame(rows + rows[:1], "id string, content string")
+    want = shares(rows, span)
+    assert want["r"] == 2 * want["s"] >= 2 * len(p) and want["t"] == 0
+    for batches in ([df], [df.where("id = 's'"), df.where("id <> 's'")]):
+        got = S.shared_shares([records(x, "t", "id", "content") for x in batches], span, gram).collect()
+        assert {r["rec_key"]: r["shared_chars"] for r in got} == want
+
+
 def test_span_index_takes_batches_and_compacts(spark):
     base = "".join(random.Random(1).choices("abcdefgh", k=300))
     index = S.SpanIndex(spark, 160, 96, fanout=2)
