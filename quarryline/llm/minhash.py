@@ -229,15 +229,19 @@ def near_groups(df: DataFrame, key: str, text: str, threshold: float = 0.8, k: i
     return out.unionByName(alone.select("id", F.col("id").alias("group_id"), F.lit(0).cast("long").alias("links")))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """The least label within each connected component, by label spreading with shortcuts: a node takes the least label
-    of its neighbours, then the label that the node of that name has. nodes (node, least), edges (a, b) both ways."""
-    now = written(nodes, "components")
-    for _ in range(rounds):
-        seen = edges.join(now.select(F.col("node").alias("a"), "least"), "a").groupBy(F.col("b").alias("node")).agg(F.min("least").alias("near"))
-        new = now.join(seen, "node", "left").select("node", F.least("least", "near").alias("least"), (F.col("near") < F.col("least")).alias("moved"))
-        new = written(new, "components")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The least label within each connected component, by label spreading with shortcuts: a node, and the node that its
+    label comes from, take the least label of its neighbours, then the label that the node of that name has; until
+    neighbours have equal labels. nodes (node, least), edges (a, b) both ways. A label is named by its node, as
+    several nodes may have the same."""
+    now = nodes.select("node", F.struct("least", F.col("node").alias("root")).alias("label"))
+    while True:
+        near = edges.join(now.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
+        own = F.struct("node", F.least("label", "near").alias("label"), F.coalesce(F.col("near") < F.col("label"), F.lit(False)).alias("moved"))
+        root = F.struct(F.col("label.root").alias("node"), F.col("near").alias("label"), F.lit(False).alias("moved"))
+        told = now.join(near, "node", "left").select(F.explode(F.array(own, root)).alias("x")).select("x.*")
+        new = written(told.groupBy("node").agg(F.min("label").alias("label"), F.max("moved").alias("moved")), "components")
         if not new.where("moved").limit(1).count():
-            return new.select("node", "least")
-        now = new.select("node", "least")
-    raise RuntimeError("labels still move; raise rounds")
+            return new.select("node", "label.least")
+        roots = new.select(F.col("node").alias("root"), F.col("label").alias("further"))
+        now = new.select("node", "label", "label.root").join(roots, "root").select("node", F.least("label", "further").alias("label"))

@@ -71,6 +71,14 @@ def test_components_of_a_chain(spark):
     assert set(got.values()) == {"n00", f"n{n:02}"} and got[n] == f"n{n:02}"
 
 
+def test_components_of_a_long_chain(spark):
+    """Least labels at one end, while all others grow from the other end on."""
+    n = 260
+    nodes = spark.createDataFrame([(i, "n" if i == 0 else f"n{n - i:03}") for i in range(n)], "node bigint, least string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(i + 1, i) for i in range(n - 1)], "a bigint, b bigint")
+    assert {r["least"] for r in M.components(nodes, edges).collect()} == {"n"}
+
+
 def shares(recs, span):
     own = {}
     for k, t in recs:
