@@ -56,6 +56,11 @@ def _list(values: np.ndarray, n: int, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.reshape(-1).view(np.int64)))
 
 
+def set_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each whole set; none may be empty."""
+    return K.mixed(np.add.reduceat(K.mixed(hashes), bounds[:-1]) + np.diff(bounds).astype(np.uint64))
+
+
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each non-empty set: a hash of the whole set, its packed signature and its band keys."""
     starts, n = bounds[:-1], len(bounds) - 1
@@ -63,7 +68,7 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     minima = np.empty((HASHES, n), np.uint32)
     for i in range(HASHES):
         minima[i] = np.minimum.reduceat(((hashes * a[i] + b[i]) >> K.U64(32)).astype(np.uint32), starts)
-    cls = K.mixed(np.add.reduceat(K.mixed(hashes), starts) + np.diff(bounds).astype(np.uint64))
+    cls = set_hashes(hashes, bounds)
     bands = np.empty((n, BANDS), np.uint64)
     for i in range(BANDS):
         key = np.full(n, i + 1, np.uint64)
@@ -98,12 +103,20 @@ def _sign(k: int):
 
 
 def _shingled(k: int):
+    """The sets of the texts that are of the wanted class; an id may have texts of other classes."""
+
     def run(batches):
         for keys, texts in fresh(batches, ["cls"], "text"):
             for i, j in K.chunks(texts):
                 hashes, bounds = shingle_sets(texts[i:j], k)
+                wanted = np.array([c for (c,) in keys[i:j]], np.int64)
+                full = np.flatnonzero(np.diff(bounds))
+                if not len(full):
+                    continue
+                own = np.zeros(j - i, bool)
+                own[full] = set_hashes(hashes, np.append(bounds[full], len(hashes))).view(np.int64) == wanted[full]
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([c for (c,) in keys[i:j]], pa.int64()), sets], names=["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(wanted), sets], names=["cls", "shingles"]).filter(pa.array(own))
 
     return run
 

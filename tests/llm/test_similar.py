@@ -56,6 +56,14 @@ def test_class_of_many_rows_hides_no_variant(spark, copies, again, bucket):
     assert got == {k: ("copy00", n) for k, n in links.items()}
 
 
+def test_id_with_two_texts(spark):
+    """Each of the two texts is compared as the one it is."""
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "vw")
+    rows = [("a", one), ("a", two), ("y", one + " x"), ("z", two + " x")]
+    got = M.near_pairs(spark.createDataFrame(rows, "id string, content string"), "id", "content", 0.7).collect()
+    assert {(r["id_a"], r["id_b"]) for r in got} == {("a", "y"), ("a", "z")}
+
+
 def test_groups(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [("c", base), ("a", base), ("b", base + " x y"), ("d", "z " * 9), ("e", "too few words"), ("f", "other " + " ".join(f"v{i}" for i in range(30)))]
