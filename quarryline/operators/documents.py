@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
+from quarryline.operators.similarity import prefix_pairs, similar_pairs
 from quarryline.shared import written
 
 
@@ -21,11 +22,6 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("line_start", start).select(key, "line_no", "line_start", (F.col("line_start") + F.length("line")).alias("line_end"), "line")
 
 
-def word_windows(docs: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
-    """(key, shingle): the distinct n-word windows of each text."""
-    return docs.select(key, F.explode(T.shingles(F.col(text), n)).alias("shingle"))
-
-
 def identity_failures(docs: DataFrame, key: str, doc_id: str, text: str) -> DataFrame:
     """(key, doc_id): documents whose own header doesn't hold their serial as a digit-bounded number."""
     return docs.where(F.col(text).isNotNull() & ~F.array_contains(T.digit_runs(T.doc_header(F.col(text))), T.doc_serial(F.col(doc_id)))).select(key, doc_id)
@@ -45,27 +41,17 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.9
     """(doc_a, doc_b, jaccard, copies_a, copies_b): pairs of different texts whose n-word windows have a Jaccard similarity of
     at least threshold, doc_a < doc_b; each text is named by the least key that has it, copies_ counts the keys.
 
-    Exact by a prefix filter: with the windows of each set ordered by rarity, similar sets share one of the first
-    size - ceil(threshold * size) + 1, so windows that many documents hold join nothing. Texts without windows pair with nothing.
+    Exact by a prefix filter that knows both sizes (similarity.prefix_pairs), so windows that many documents hold join nothing
+    unless they make their documents similar. Texts without windows pair with nothing.
     """
     texts = docs.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(key).alias("doc"), F.count("*").alias("copies"))
     sets = texts.select("doc", "copies", T.shingles(F.col(text), n).alias("s")).where(F.size("s") > 0)
     sets = written(sets.select("doc", "copies", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), "shingle-sets")
-    one = sets.select("doc", F.size("s").alias("n"), F.explode("s").alias("h"))
-    often = one.groupBy("h").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("doc").orderBy("df", "h")
-    prefix = one.join(often, "h").withColumn("at", F.row_number().over(order)).where(F.expr(f"at <= n - ceil({threshold}D * n - 1e-9D) + 1 AND df > 1"))
-    a, b = (prefix.select(F.col("doc").alias(f"doc_{x}"), F.col("n").alias(f"n{x}"), "h") for x in "ab")
-    near = a.join(b, "h").where(F.expr(f"doc_a < doc_b AND least(na, nb) >= {threshold}D * greatest(na, nb)")).select("doc_a", "doc_b").distinct()
-    side = lambda x: sets.select(F.col("doc").alias(f"doc_{x}"), F.col("copies").alias(f"copies_{x}"), F.col("s").alias(f"s{x}"))
-    return (
-        near.join(side("a"), "doc_a")
-        .join(side("b"), "doc_b")
-        .withColumn("k", F.size(F.array_intersect("sa", "sb")))
-        .withColumn("jaccard", F.col("k") / (F.size("sa") + F.size("sb") - F.col("k")))
-        .where(F.col("jaccard") >= threshold)
-        .select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"), "copies_a", "copies_b")
-    )
+    tokens = sets.select(F.col("doc").alias("item"), F.array_distinct("s").alias("tokens"))
+    near = similar_pairs(tokens, written(prefix_pairs(tokens, threshold), "near-candidates"), threshold)
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("copies").alias(f"copies_{x}"))
+    named = near.join(side("a"), "a").join(side("b"), "b")
+    return named.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round("similarity", 6).alias("jaccard"), "copies_a", "copies_b")
 
 
 def citation_edges(docs: DataFrame, key: str, doc_id: str, text: str, serials: DataFrame, least: int = 4) -> DataFrame:
