@@ -3,7 +3,9 @@
 A leak is a run of RUN consecutive words of an item (for items without word gaps, UNITS letters and digits) in a document.
 Every window of that length in an item is a set of shingles, all of which the document must hold. The shingles are ordered
 by how many documents hold them; of each window only the rarest, its necessary prefix for full containment, is joined
-with the documents. A hit's place in the window bounds where the window lies in the document, by position and by what is
+with the documents. Of a document's shingles only those leave their task that a Bloom filter of the wanted ones lets pass: all
+in a first pass, to count the documents that hold them, and the rarest, with the words around them, in a second.
+A hit's place in the window bounds where the window lies in the document, by position and by what is
 left of the document on either side; the words there are compared with the window's one by one.
 """
 
@@ -15,13 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm import kernel as K
+from quarryline.llm.bloom import BITS, passing, read_filter, write_filter
 from quarryline.shared import written
 
 #: Words and shingle of items with words; letters or digits and shingle of items in languages without word gaps.
 MODES = {"word": (12, 5), "unit": (30, 15)}
 UNSPACED = ["zh", "ja"]
-#: Shingles of items that are looked up in each task without a shuffle; with more, all shingles of the corpus are joined.
-IN_MEMORY = 4_000_000
 
 
 def _hashes(mode: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,22 +51,22 @@ def item_windows(items: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(run, f"item {kind}, mode string, at int, words array<long>, shingles array<long>")
 
 
-def _looked_up(batches, wanted: dict[str, np.ndarray] | None):
-    """Document keys, texts and, by mode, word hashes, bounds, hits among the shingles and the owners of these."""
+def _looked_up(batches, wanted: tuple[str, int]):
+    """Document keys, texts and, by mode, word hashes, bounds, shingles that the filter `wanted` lets pass and their owners."""
+    words_of = read_filter(*wanted)
     for b in batches:
         texts = [t or "" for t in b.column("text").to_pylist()]
         keys = b.column("doc")
         for i, j in K.chunks(texts):
-            for mode in MODES if wanted is None else [m for m in MODES if m in wanted]:
+            for mode in MODES:
                 words, bounds = _hashes(mode, texts[i:j])
                 shingles, at = K.shingle_hashes(words, bounds, MODES[mode][1])
-                if wanted is not None:
-                    hit = K.member(shingles, wanted[mode])
-                    shingles, at = shingles[hit], at[hit]
+                hit = passing(shingles, words_of)
+                shingles, at = shingles[hit], at[hit]
                 yield keys, i, mode, words, bounds, shingles, at, np.searchsorted(bounds, at, "right") - 1
 
 
-def _counter(wanted):
+def _counter(wanted: tuple[str, int]):
     def run(batches):
         for *_, mode, _words, _bounds, shingles, _at, owner in _looked_up(batches, wanted):
             order = np.lexsort((owner, shingles))
@@ -78,7 +79,7 @@ def _counter(wanted):
     return run
 
 
-def _hits(wanted):
+def _hits(wanted: tuple[str, int]):
     def run(batches):
         for keys, first, mode, words, bounds, shingles, at, owner in _looked_up(batches, wanted):
             n, k = MODES[mode]
@@ -99,30 +100,25 @@ def _hits(wanted):
     return run
 
 
-def leaks(items: DataFrame, docs: DataFrame, item_key: str, item_text: str, lang: str, doc_key: str, doc_text: str, in_memory: int = IN_MEMORY) -> DataFrame:
+def leaks(items: DataFrame, docs: DataFrame, item_key: str, item_text: str, lang: str, doc_key: str, doc_text: str, bits: int = BITS) -> DataFrame:
     """(item_key, doc_key): each item and document that share a run of at least 12 consecutive words, for items in
     UNSPACED languages of 30 consecutive letters and digits. Words are runs of letters, combining marks and digits; case,
     punctuation, gaps and line ends don't count.
 
     Null keys and null texts share nothing; repeated rows count once; either table may be empty; texts are read whole.
+    bits: the logarithm of the filter's size; it changes what is shuffled, not what is found.
     """
     windows = written(item_windows(items, item_key, item_text, lang), "leak-windows")
     shingled = windows.select("item", "mode", "at", "words", F.posexplode("shingles").alias("k", "shingle"))
     kind = docs.schema[doc_key].dataType.simpleString()
     corpus = docs.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
 
-    def lookup(shingles: DataFrame) -> dict[str, np.ndarray] | None:
-        """The distinct shingles, if there are few enough to look them up in each task."""
-        own = shingles.select("mode", "shingle").distinct()
-        if own.count() > in_memory:
-            return None
-        rows = own.toPandas()
-        return {m: np.sort(g["shingle"].to_numpy().astype(np.int64).view(np.uint64)) for m, g in rows.groupby("mode")}
-
-    every = lookup(shingled)
-    counts = corpus.mapInArrow(_counter(every), "mode string, shingle long, docs long")
-    if every is None:
-        counts = counts.join(shingled.select("mode", "shingle").distinct(), ["mode", "shingle"], "left_semi")
+    def filter_of(rows: DataFrame) -> tuple[str, int]:
+        return write_filter(rows.select(F.col("shingle").alias("value")), bits), bits
+
+    wanted = shingled.select("mode", "shingle").distinct()
+    counts = corpus.mapInArrow(_counter(filter_of(wanted)), "mode string, shingle long, docs long")
+    # What the filter let pass without being wanted finds no partner in the join below.
     held = counts.groupBy("mode", "shingle").agg(F.sum("docs").alias("docs"))
     # A window with a shingle that no document holds can't be in any; of the others, the rarest shingle.
     rarest = Window.partitionBy("item", "mode", "at").orderBy("docs", "shingle", "k")
@@ -135,7 +131,6 @@ def leaks(items: DataFrame, docs: DataFrame, item_key: str, item_text: str, lang
         .select("item", "mode", "words", "k", "shingle")
     )
     prefix = written(prefix, "leak-prefix")
-    rare = lookup(prefix)
-    hits = corpus.mapInArrow(_hits(rare), f"doc {kind}, mode string, shingle long, left int, around array<long>")
+    hits = corpus.mapInArrow(_hits(filter_of(prefix)), f"doc {kind}, mode string, shingle long, left int, around array<long>")
     found = hits.join(prefix, ["mode", "shingle"]).where("left >= k AND slice(around, left - k + 1, size(words)) = words")
     return found.select(F.col("item").alias(item_key), F.col("doc").alias(doc_key)).distinct()

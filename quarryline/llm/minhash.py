@@ -4,7 +4,8 @@
    minimum the low BITS bits stay in a packed signature.
 2. Records with the same shingle set form a class; everything further works on classes, so exact copies never pair up.
 3. A band's bucket of up to BUCKET classes gives its pairs. The classes of a fuller bucket (boilerplate) go through an
-   exact prefix-filtered join on their rarest shingles instead, so no bucket is cut and none is expanded whole.
+   exact prefix-filtered join on their rarest shingles instead (operators.similarity), whose prefixes end before text that
+   all of them have in common, so no bucket is cut and none is expanded whole.
 4. Equal signature positions are counted bitwise and corrected for chance collisions; pairs whose estimate lies
    far below the threshold drop out.
 5. What is left is verified exactly on the shingle sets.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import kernel as K
 from quarryline.llm.records import fresh, records
+from quarryline.operators.similarity import prefix_pairs, similar_pairs
 from quarryline.shared import written
 
 BANDS, ROWS, BITS, BUCKET, SHINGLE = 40, 4, 2, 64, 5
@@ -168,39 +170,16 @@ def similar_classes(recs: DataFrame, threshold: float, k: int = SHINGLE, bucket:
     )
     if hot_bands.limit(1).count():
         hot = banded.join(hot_bands, "band", "left_semi").select("cls").distinct()
-        likely = likely.union(rare_prefix_pairs(text_of(hot.join(classes, "cls")), threshold)).distinct()
+        full = written(text_of(hot.join(classes, "cls")).select(F.col("cls").alias("item"), F.col("shingles").alias("tokens")), "minhash-hot-sets")
+        likely = likely.union(prefix_pairs(full, threshold)).distinct()
     likely = written(likely, "minhash-candidates")
 
     wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls")
     sets = written(text_of(wanted), "minhash-sets")
-    pairs = (
-        likely.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("xa")), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("xb")), "b")
-        .withColumn("shared", F.size(F.array_intersect("xa", "xb")))
-        .select("a", "b", (F.col("shared") / (F.size("xa") + F.size("xb") - F.col("shared"))).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
-    )
+    pairs = similar_pairs(sets.select(F.col("cls").alias("item"), F.col("shingles").alias("tokens")), likely, threshold)
     return signed.select("rec_table", "rec_key", "cls").distinct(), pairs
 
 
-def rare_prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) of (cls, shingles), none above the threshold left out: of each set, ordered from the
-    rarest shingle on, only the first n - ceil(threshold * n) + 1 can be all that a similar set misses."""
-    one = sets.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    often = one.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    order = Window.partitionBy("cls").orderBy("df", "s")
-    # A shingle of one set only takes its place in the prefix, but no part in the join.
-    prefix = (
-        one.join(often, "s", "left")
-        .withColumn("df", F.coalesce("df", F.lit(1)))
-        .withColumn("at", F.row_number().over(order))
-        .where(F.expr(f"at <= n - ceil({threshold}D * n - 1e-9D) + 1 AND df > 1"))
-        .select("cls", "n", "s")
-    )
-    x, y = (prefix.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), "s") for c in "ab")
-    return x.join(y, "s").where(F.expr(f"a < b AND least(na, nb) >= {threshold}D * greatest(na, nb)")).select("a", "b").distinct()
-
-
 def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, k: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """(id_a, id_b), id_a < id_b: keys whose texts have a Jaccard similarity of at least threshold between their sets of
     k-word shingles (lower-cased words of letters, digits and underscores).
