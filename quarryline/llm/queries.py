@@ -44,19 +44,20 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p3_batches(spark: SparkSession, d: str) -> list[DataFrame]:
-    """The smaller table first: its run then is the history that the larger one is joined with."""
-    return [
-        records(table(spark, d, "cross_references"), "cross_references", "edge_id", "context"),
-        records(table(spark, d, "retrieve"), "retrieve", "id", "content"),
+    """The cross references, then the chunks of each configuration (an id is of one), as they would arrive one after another;
+    null is a configuration of its own. With a fanout of 2 the runs are compacted on the way."""
+    rows, other = table(spark, d, "retrieve"), F.coalesce(~F.col("config").isin("256-fixed", "512-fixed"), F.lit(True))
+    return [records(table(spark, d, "cross_references"), "cross_references", "edge_id", "context")] + [
+        records(rows.where(part), "retrieve", "id", "content") for part in (F.col("config") == "256-fixed", F.col("config") == "512-fixed", other)
     ]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.records_sharing(_p3_batches(spark, d))
+    return spans.records_sharing(_p3_batches(spark, d), fanout=2)
 
 
 def p3_shared(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_shares(_p3_batches(spark, d))
+    return spans.shared_shares(_p3_batches(spark, d), fanout=2)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,15 +6,20 @@ Neighbouring windows mostly choose the same gram; they form one row with a hash
 
 Index: each batch of records becomes an immutable run of rows, bucketed and sorted by fingerprint. A new batch is
 merge-joined, bucket by bucket and without another shuffle, with the runs of earlier batches; runs are compacted into
-one when there are many. What shares a fingerprint is verified: rows whose whole covered text recurs in another record
-first, then, one row for each distinct text, window by window.
-Rows of one task with the same fingerprint and text become one row before the shuffle, so a passage that a third of
-all records hold costs its bucket one row a batch; groups are only ever reduced to their least and greatest record.
+one when there are many. Runs and the manifest that names them stay in the index's folder, so a later session goes on
+from there. What shares a fingerprint is verified: rows whose whole covered text recurs in another record first, then,
+one row for each distinct text, window by window.
+Rows of one task with the same fingerprint and text become one row before the shuffle. One that then holds many places (a
+passage that a third of all records hold) is known to be shared, needs no partner, and goes to a bucket by chance, so
+that no bucket takes all of them; groups are only ever reduced to their least and greatest record.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from math import ceil, log2
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +28,14 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import kernel as K
 from quarryline.llm.records import fresh
-from quarryline.shared import bucketed, written
+from quarryline.shared import bucketed, exists, opened, read_text, remove, scratch_path, tidy, write_text, written
 
 SPAN, GRAM = 160, 96
-ROW = "fp long, ctx long, rec long, start int, n int, others array<struct<rec: long, start: int>>"
+#: A row has its fingerprint as key, exclusive or with its salt, which is 0 but in rows of HEAVY further places and more.
+ROW = "key long, salt long, ctx long, rec long, start int, n int, others array<struct<rec: bigint, start: int>>"
+HEAVY = 64
+#: Rows that a bucket should hold at most, and characters that one row stands for on average.
+BUCKET_ROWS, ROW_CHARS = 2_000_000, (SPAN - GRAM) // 2
 _PLACE = K.U64(24)
 _MASK = K.U64((1 << 24) - 1)
 
@@ -95,11 +104,16 @@ def _combined(fp: np.ndarray, ctx: np.ndarray, rec: np.ndarray, start: np.ndarra
     fp, ctx, rec, start, n = (x[order] for x in (fp, ctx, rec, start, n))
     head = np.ones(len(fp), bool)
     head[1:] = (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])
-    counts = np.diff(np.append(np.flatnonzero(head), len(fp))) - 1
+    first = np.flatnonzero(head)
+    counts = np.diff(np.append(first, len(fp))) - 1
+    # Records are in order, so a row's first and last place tell whether it has several.
+    heavy = (counts >= HEAVY) & (rec[first] != rec[first + counts])
+    salt = np.where(heavy, K.mixed((rec[first] ^ start[first]).view(np.uint64)) | K.U64(1), K.U64(0)).view(np.int64)
     offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32), mask=np.append(counts == 0, False))
     places = pa.StructArray.from_arrays([pa.array(rec[~head]), pa.array(start[~head])], names=["rec", "start"])
     return pa.RecordBatch.from_arrays(
-        [pa.array(x[head]) for x in (fp, ctx, rec, start, n)] + [pa.ListArray.from_arrays(offsets, places)], names=["fp", "ctx", "rec", "start", "n", "others"]
+        [pa.array(x) for x in (fp[head] ^ salt, salt, ctx[head], rec[head], start[head], n[head])] + [pa.ListArray.from_arrays(offsets, places)],
+        names=["key", "salt", "ctx", "rec", "start", "n", "others"],
     )
 
 
@@ -140,42 +154,88 @@ _LOW = "least(rec, array_min(others.rec))"
 _HIGH = "greatest(rec, array_max(others.rec))"
 
 
-class SpanIndex:
-    """Runs of fingerprints of all records so far, for finding the spans that new records share with them."""
+def _buckets(rows: float, least: int) -> int:
+    """A power of two, so that runs of unlike sizes can grow together."""
+    return 1 << max(0, ceil(log2(max(1, least, rows / BUCKET_ROWS))))
 
-    def __init__(self, spark: SparkSession, span: int = SPAN, gram: int = GRAM, fanout: int = 4):
-        self.spark, self.span, self.gram, self.fanout = spark, span, gram, fanout
-        self.runs: list[DataFrame] = []
 
-    def _run(self, rows: DataFrame) -> DataFrame:
-        return bucketed(rows, "span-run", "fp")
+class SpanIndex:
+    """Runs of fingerprints of all records so far, for finding the spans that new records share with them.
+
+    path: a folder in shared storage. An index that is there is opened and goes on with its own span and gram; without a path
+    the index lives until the process ends. The folder holds runs/ and manifests, of which the last one counts: an append or
+    a compaction that is lost with its driver leaves the index as it was before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, gram: int = GRAM, fanout: int = 4):
+        self.spark, self.path, self.span, self.gram, self.fanout = spark, path or scratch_path(spark, "span-index"), span, gram, fanout
+        self.version, self.buckets, self.names, self.runs = 0, 0, [], []
+        while exists(spark, self._manifest(self.version + 1)):
+            self.version += 1
+        if self.version:
+            known = json.loads(read_text(spark, self._manifest(self.version)))
+            self.span, self.gram, self.buckets, self.names = known["span"], known["gram"], known["buckets"], known["runs"]
+            self.runs = [opened(spark, f"{self.path}/runs/{name}", ROW, "key", self.buckets) for name in self.names]
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifest-{version:06}.json"
+
+    def _commit(self, names: list[str], runs: list[DataFrame]) -> None:
+        state = {"span": self.span, "gram": self.gram, "buckets": self.buckets, "runs": names}
+        write_text(self.spark, self._manifest(self.version + 1), json.dumps(state))
+        self.version, self.names, self.runs = self.version + 1, names, runs
+
+    def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
+        name = uuid4().hex
+        run = bucketed(rows, f"{self.path}/runs/{name}", "key", self.buckets)
+        tidy(self.spark)
+        return name, run
 
     def append(self, recs: DataFrame) -> DataFrame:
         """Add a batch of keyed() records. Returns the rows, of this batch and of earlier ones, whose fingerprint is now
-        known to be in more than one record and is in this batch."""
-        new = self._run(recs.select("rec", "text").mapInArrow(_fingerprint(self.span, self.gram), ROW))
-        ends = lambda rows: rows.groupBy("fp").agg(F.min(F.expr(_LOW)).alias("low"), F.max(F.expr(_HIGH)).alias("high"))
-        stats = ends(new)
-        for k, run in enumerate(self.runs):
-            old = ends(run).select("fp", F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}"))
-            stats = stats.join(old.hint("merge"), "fp", "left").select("fp", F.least("low", f"low{k}").alias("low"), F.greatest("high", f"high{k}").alias("high"))
-        shared = stats.where("low <> high").select("fp")
-        hits = [written(run.join(shared.hint("merge"), "fp", "left_semi"), "span-hits") for run in (new, *self.runs)]
-        self.runs.append(new)
+        known to be in more than one record and is in this batch: (fp, ctx, rec, start, n, others)."""
+        if not self.buckets:
+            size = recs.agg(F.sum(F.length("text"))).first()[0] or 0
+            self.buckets = _buckets(size / ROW_CHARS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        name, new = self._write(recs.select("rec", "text").mapInArrow(_fingerprint(self.span, self.gram), ROW).repartition(self.buckets, "key"))
+        runs, fp = [new, *self.runs], F.expr("key ^ salt")
+        light, heavy = ([r.where(f"salt {op} 0") for r in runs] for op in ("=", "<>"))
+        ends = lambda rows: rows.groupBy("key").agg(F.min(F.expr(_LOW)).alias("low"), F.max(F.expr(_HIGH)).alias("high"))
+        stats = ends(light[0])
+        for k, run in enumerate(light[1:]):
+            old = ends(run).select("key", F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}"))
+            stats = stats.join(old.hint("merge"), "key", "left").select("key", F.least("low", f"low{k}").alias("low"), F.greatest("high", f"high{k}").alias("high"))
+        shared = stats.where("low <> high").select("key")
+        # Row groups without a salt are told by their statistics, so this costs little where nothing is heavy.
+        if any(h.limit(1).count() for h in heavy):
+            many = [h.select(fp.alias("key")).distinct() for h in heavy]
+            earlier = reduce(DataFrame.union, many[1:], many[0].limit(0)).distinct().join(light[0].select("key"), "key", "left_semi")
+            shared = written(shared.union(many[0]).union(earlier).distinct(), "span-shared")
+        cols = [fp.alias("fp"), "ctx", "rec", "start", "n", "others"]
+        hits = [r.join(shared.hint("merge"), "key", "left_semi").select(*cols) for r in light]
+        hits += [r.withColumn("fp", fp).join(shared.select(F.col("key").alias("fp")), "fp", "left_semi").select("fp", *cols[1:]) for r in heavy]
+        found = written(reduce(DataFrame.unionByName, hits), "span-hits")
+        self._commit([*self.names, name], [*self.runs, new])
         if len(self.runs) > self.fanout:
             self.compact()
-        return reduce(DataFrame.unionByName, hits)
+        return found
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run."""
-        self.runs = [self._run(reduce(DataFrame.unionByName, self.runs))]
+        """Merge all runs into one sorted run, rows of records that were delivered again only once, in more buckets if the
+        rows ask for them; the runs before are removed."""
+        before, rows = self.names, reduce(DataFrame.unionByName, self.runs)
+        self.buckets = _buckets(rows.count(), self.buckets)
+        name, run = self._write(rows.repartition(self.buckets, "key").distinct())
+        self._commit([name], [run])
+        for old in before:
+            remove(self.spark, f"{self.path}/runs/{old}")
 
 
-def shared_intervals(batches: list[DataFrame], span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def shared_intervals(batches: list[DataFrame], span: int = SPAN, gram: int = GRAM, fanout: int = 4) -> DataFrame:
     """(rec, lo, hi): parts of keyed() records that each consist of spans of at least `span` characters found in another
     record. They may overlap and touch."""
     spark = batches[0].sparkSession
-    index = SpanIndex(spark, span, gram)
+    index = SpanIndex(spark, None, span, gram, fanout)
     hits = index.append(batches[0])
     recs = batches[0]
     for b in batches[1:]:
@@ -214,13 +274,13 @@ def shared_intervals(batches: list[DataFrame], span: int = SPAN, gram: int = GRA
     return whole.unionByName(single).select("rec", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + span).alias("hi"))
 
 
-def records_sharing(batches: list[DataFrame], span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def records_sharing(batches: list[DataFrame], span: int = SPAN, gram: int = GRAM, fanout: int = 4) -> DataFrame:
     """(rec_table, rec_key) of each record() with a span of at least `span` characters that another record holds.
 
     A record is a table and key, whatever repeats there are; rows with a null key or text are left out, texts shorter
     than the span share nothing, and empty tables give no rows."""
     batches = [keyed(b) for b in batches]
-    found = shared_intervals(batches, span, gram).select("rec").distinct()
+    found = shared_intervals(batches, span, gram, fanout).select("rec").distinct()
     return _names(batches).join(found, "rec", "left_semi").select("rec_table", "rec_key")
 
 
@@ -231,12 +291,12 @@ def _names(batches: list[DataFrame]) -> DataFrame:
     return names.distinct()
 
 
-def shared_shares(batches: list[DataFrame], span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def shared_shares(batches: list[DataFrame], span: int = SPAN, gram: int = GRAM, fanout: int = 4) -> DataFrame:
     """(rec_table, rec_key, n_chars, shared_chars) of each record(): its length in code points and how many of them lie in
     spans of at least `span` characters that another record holds. Nulls and repeats as in records_sharing; of a
     record with several texts the longest counts for n_chars."""
     batches = [keyed(b) for b in batches]
-    parts = shared_intervals(batches, span, gram).groupBy("rec", "lo").agg(F.max("hi").alias("hi"))
+    parts = shared_intervals(batches, span, gram, fanout).groupBy("rec", "lo").agg(F.max("hi").alias("hi"))
     before = Window.partitionBy("rec").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     shared = (
         parts.withColumn("seen", F.coalesce(F.max("hi").over(before), F.lit(0)))

@@ -136,13 +136,31 @@ def test_passage_repeated_in_equal_surroundings(spark, span, gram):
         assert {r["rec_key"]: r["shared_chars"] for r in got} == want
 
 
-def test_span_index_takes_batches_and_compacts(spark):
+def test_span_index_takes_batches_and_compacts(spark, tmp_path):
+    """Each batch is taken by an index that was opened anew; what a batch shares with a compacted one is found."""
     base = "".join(random.Random(1).choices("abcdefgh", k=300))
-    index = S.SpanIndex(spark, 160, 96, fanout=2)
-    found = []
-    for k in range(4):
-        batch = spark.createDataFrame([("t", f"{k}", base if k in (1, 3) else f"{k}" * 300)], "rec_table string, rec_key string, text string")
+    found, at = [], f"file://{tmp_path}/index"
+    for k in range(5):
+        batch = spark.createDataFrame([("t", f"{k}", base if k in (1, 3, 4) else f"{k}" * 300)], "rec_table string, rec_key string, text string")
+        index = S.SpanIndex(spark, at, fanout=2)
         found.append({r["rec"] for r in index.append(S.keyed(batch)).collect()})
-    assert [len(x) for x in found] == [0, 0, 0, 2] and len(index.runs) <= 2
+        assert len(index.runs) <= 2 and len(list((tmp_path / "index" / "runs").iterdir())) == len(index.runs)
+    assert [len(x) for x in found] == [0, 0, 0, 2, 3]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quarryline")]
     none = records(spark.createDataFrame([], "id string, content string"), "t", "id", "content")
     assert S.records_sharing([none, none]).count() == 0 and S.shared_shares([none]).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_passage_of_a_third_of_all_records(spark, monkeypatch, parts):
+    """Rows with many places leave their fingerprint's bucket; in a first batch, in a later one, and in both."""
+    rnd = random.Random(parts)
+    text = lambda n: "".join(rnd.choices("abcdefgh", k=n))
+    passage = text(200)
+    rows = [(f"r{i:04}", text(40) + (passage if i % 3 == 0 else text(200)) + text(30)) for i in range(900)] + [("one", "x" + passage[:170]), ("none", passage[:150])]
+    df = spark.createDataFrame(rows, "id string, content string").repartition(parts, "id")
+    want = {k for k, n in shares(rows, 160).items() if n}
+    assert len(want) == 301
+    for key in ("id = 'one'", "id <> 'one'", "crc32(id) % 2 = 0"):
+        batches = [records(x, "t", "id", "content") for x in (df.where(key), df.where(f"NOT ({key})"))]
+        assert {r["rec_key"] for r in S.records_sharing(batches).collect()} == want
