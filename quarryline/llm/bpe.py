@@ -2,10 +2,10 @@
 
 A prefix's encoding has one valid last token. For each byte prefix of a piece that token is stored: it is the one suffix in
 the vocabulary that is compatible with the stored last token of what stands before it. Reading the stored tokens from the
-end gives the encoding; appending bytes only adds entries, and after an edit only the entries from there on are new.
+end gives the encoding; appending bytes only adds entries, and after an edit only the entries from there on are new, up to where they
+agree with the old ones again.
 
-Texts are cut into pieces by character class in numpy, equal pieces of a chunk are looked up once, and each
-worker keeps the encodings of the pieces it has met.
+Texts are cut into pieces by character class in numpy, equal pieces of a chunk are looked up once, and each worker keeps the encodings of the pieces it has met.
 """
 
 from __future__ import annotations
@@ -99,24 +99,40 @@ class Prefixes:
         self.vocabulary, self.piece, self.last = vocabulary, b"", []
         self.append(piece)
 
+    def _token(self, end: int) -> int:
+        """The last token of the prefix up to `end`; those of the shorter prefixes are stored."""
+        v = self.vocabulary
+        for start in range(max(0, end - v.longest), end):
+            rank = v.ranks.get(self.piece[start:end])
+            if rank is not None and (v.whole(self.piece[start:end]) if start == 0 else v.fits(self.last[start - 1], rank)):
+                return rank
+        raise ValueError("the vocabulary lacks a byte")
+
     def append(self, more: bytes) -> None:
         """Add bytes at the end; what is stored for the prefixes so far stays valid."""
-        v, done = self.vocabulary, len(self.piece)
+        done = len(self.piece)
         self.piece += more
         for end in range(done + 1, len(self.piece) + 1):
-            for start in range(max(0, end - v.longest), end):
-                rank = v.ranks.get(self.piece[start:end])
-                if rank is not None and (v.whole(self.piece[start:end]) if start == 0 else v.fits(self.last[start - 1], rank)):
-                    self.last.append(rank)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-
-    def replace(self, start: int, end: int, new: bytes) -> None:
-        """Exchange piece[start:end]; only prefixes beyond `start` are computed again."""
-        tail = self.piece[end:]
-        self.piece, self.last = self.piece[:start], self.last[:start]
-        self.append(new + tail)
+            self.last.append(self._token(end))
+
+    def replace(self, start: int, end: int, new: bytes) -> int:
+        """Exchange piece[start:end]; returns how many prefixes were computed again.
+
+        A prefix's token depends on those of as many shorter prefixes as the longest token has bytes. Once so many on end
+        behind the edit are as before, all others are."""
+        old, moved = self.last[end:], start + len(new)
+        self.piece = self.piece[:start] + new + self.piece[end:]
+        self.last[start:] = []
+        same = 0
+        for at in range(start + 1, len(self.piece) + 1):
+            token = self._token(at)
+            self.last.append(token)
+            if at > moved:
+                same = same + 1 if token == old[at - moved - 1] else 0
+                if same == self.vocabulary.longest:
+                    self.last += old[at - moved :]
+                    return at - start
+        return len(self.piece) - start
 
     def tokens(self) -> list[int]:
         out, at = [], len(self.piece)
@@ -175,7 +191,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary.load(path)
-        self.known: dict[int, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
         if self.vocabulary.whole(piece):
@@ -193,14 +209,27 @@ class Encoder:
         start = piece_starts(cp, np.unique(bounds))
         end = np.append(start[1:], len(cp))
         hashes = K.span_hash(K.prefix_hash(K.char_table("noise")[cp]), start, end)
-        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        # Pieces of one hash are compared, character by character, with the first of them; a stranger stands for itself.
+        size = end - start
+        twin = first[which]
+        unlike = size != size[twin]
+        offset = np.cumsum(size) - size
+        at = np.arange(len(cp)) - np.repeat(offset, size)
+        away = np.flatnonzero(cp != cp[np.minimum(np.repeat(start[twin], size) + at, len(cp) - 1)])
+        unlike[np.searchsorted(start, away, "right") - 1] = True
+        if unlike.any():
+            strange = np.flatnonzero(unlike)
+            which[strange] = len(first) + np.arange(len(strange))
+            first = np.append(first, strange)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         rows = []
-        for h, k in zip(unique.tolist(), first.tolist(), strict=True):
-            ids = self.known.get(h)
+        for k in first.tolist():
+            own = joined[start[k] : end[k]]
+            ids = self.known.get(own)
             if ids is None:
-                ids = self.known[h] = self.piece(joined[start[k] : end[k]].encode("utf-8", "surrogatepass"))
+                ids = self.known[own] = self.piece(own.encode("utf-8", "surrogatepass"))
             rows.append(ids)
         size = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = np.fromiter((i for ids in rows for i in ids), np.int32, int(size.sum()))

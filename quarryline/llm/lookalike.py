@@ -25,7 +25,11 @@ from quarryline.llm import kernel as K
 # Letters of other scripts that look like Latin ones.
 CYRILLIC = "АA ВB СC ЕE НH ІI ЈJ КK МM ОO РP ЅS ТT ХX ҮY ԌG ԚQ ԜW аa сc еe һh іi јj оo рp ԛq ѕs ԝw хx уy ԁd"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ρp νv ϲc ϳj"
-OTHER = "օo ɡg ɑa ϹC"
+OTHER = "ɡg ɑa ϹC"
+ARMENIAN = "ՕO ՍU ՏS օo ոn սu հh ցg զq յj"
+COPTIC = "ⲂB ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX ⲟo ⲣp ⲥc"
+CHEROKEE = "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG ᏃZ ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB"
+LISU = "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
 # Styles of quotes and dashes.
 SINGLE_QUOTES = "'‘’‚‛′‵ʼʹ`´‹›"
 DOUBLE_QUOTES = '"“”„‟″‶〝〞〟«»'
@@ -33,8 +37,9 @@ DASHES = "-‐‑‒–—―−⁃﹘﹣"
 # Code points without shape that are not in category Cf, and code points of Cf that have a shape.
 SHAPELESS = "͏ᅟᅠ឴឵ㅤﾠ⠀"
 SHAPED = "؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd"
-#: Compatibility decompositions that only change a letter's width or place, or write a ligature as one.
-SAME_SHAPE = {"<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
+#: Compatibility decompositions that only change a letter's width, place or face (bold, script, double-struck), or write a
+#: ligature as one.
+SAME_SHAPE = {"<font>", "<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
 LIGATURES = [(0xFB00, 0xFB18), (0x2160, 0x2180), (0x01C4, 0x01CD), (0x01F1, 0x01F4), (0x0132, 0x0134), (0x2024, 0x2027)]
 
 
@@ -72,7 +77,7 @@ def _shapeless(c: str) -> bool:
 def classes() -> tuple[tuple[str, ...], ...]:
     """All look-alike classes. Their number is fixed by the Unicode database, some thousands, whatever the data."""
     found = Classes()
-    for pair in f"{CYRILLIC} {GREEK} {OTHER}".split():
+    for pair in f"{CYRILLIC} {GREEK} {OTHER} {ARMENIAN} {COPTIC} {CHEROKEE} {LISU}".split():
         found.join(pair[0], pair[1])
     for alike in (SINGLE_QUOTES, DOUBLE_QUOTES, DASHES):
         for c in alike[1:]:

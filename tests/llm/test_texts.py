@@ -16,7 +16,7 @@ def found(spark, quotes, passages):
 
 
 ALIKE = [("Ｆｉｌｅ １２", "File 12"), ("ﬁle oﬃce", "file office"), ("café", "café"), ("a​b­c", "abc"), ("a  b\r\nc", "a b c"), ("«x» – “y”", '"x" - "y"'), ("раge", "page"), (" x ", "x"),
-         ("Νew ОRB", "New ORB"), ("e‍́", "é"), ("ｶﾞ", "ガ"), ("…", "...")]
+         ("Νew ОRB", "New ORB"), ("e‍́", "é"), ("ｶﾞ", "ガ"), ("…", "..."), ("ᎪᏞL ոօ", "ALL no"), ("ⲞRB", "ORB"), ("𝐅𝐢𝐥𝐞 𝟙𝟛", "File 13"), ("ꓢEꓳ", "SEO"), ("𝛂𝛃", "αβ")]
 UNLIKE = [("File", "file"), ("resume", "résumé"), ("x2", "x²"), ("a b", "ab"), ("1", "l"), ("a.", "a"), ("", " "), ("​", "")]
 
 
@@ -76,6 +76,22 @@ class TestBpe:
             p.replace(at, min(len(text), at + 2), b"xyz")
             assert p.tokens() == enc._core_bpe.encode_single_piece(p.piece)
 
+    def test_an_edit_costs_its_surroundings_only(self):
+        v, enc = self.reference()
+        rnd = random.Random(5)
+        piece = "".join(rnd.choices("abcdefghij" * 3 + "etaoin" * 5, k=20_000)).encode()
+        p = bpe.Prefixes(v, piece)
+        for at, to, new in ((5, 6, b"z"), (9_000, 9_000, b"insert"), (12_000, 12_400, b""), (19_600, 19_606, b"end")):
+            assert p.replace(at, to, new) <= len(new) + 6 * v.longest
+            assert p.tokens() == enc._core_bpe.encode_single_piece(p.piece)
+
+    def test_pieces_of_one_hash_are_told_apart(self, monkeypatch):
+        v, enc = self.reference()
+        monkeypatch.setattr(kernel, "span_hash", lambda h, start, end: (end - start).astype("uint64") // 2)
+        texts = ["one two three one for all ' 'll", "", "four words of some length", "one two"]
+        ids, bounds = bpe.Encoder(str(VOCABULARY))(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [enc.encode_ordinary(t) for t in texts]
+
 
 def words(t):
     out, w = [], ""
