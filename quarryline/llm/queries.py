@@ -96,7 +96,7 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text")
+    return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 from pathlib import Path
 
@@ -161,6 +162,48 @@ def test_sentences(marked, gap):
     assert [text[s:e] for s, e in sentences.sentences(text)] == parts
 
 
+@pytest.mark.parametrize("marked", [
+    "The limit is a cap.|It applies from May.", "I like modern art.|She paints well.", "Press the Tab.|Then wait.", "This is lit.|Everyone agreed.", "See the ref.|The text follows.",
+    "See the ref.|A man came.", "By art. 7 and Annex. A it holds.|See Sec. IV of ref. AB/CD/7.", "Das gilt nach Art. 5 und lit. B der Anl. 3.|Mehr nicht.", "Según el cap. 4 y el art. 7 no se paga.|Fin.",
+    "He said no.|Then he left.", "สมาชิกแจ้งตั้งแต่ปี พ.ศ. 2570 เป็นต้นไป|ผู้ค้าจะแจ้งภายใน 5 วัน",
+])
+def test_abbreviations_of_the_text_s_own_language(marked):
+    parts = marked.split("|")
+    text = " ".join(parts)
+    assert [text[s:e] for s, e in sentences.sentences(text)] == parts
+
+
+def test_named_language_decides_where_words_do_not():
+    assert len(sentences.sentences("Hr. Zwei", "de")) == 1 and len(sentences.sentences("Hr. Zwei", "en")) == 2
+
+
+def test_list_levels():
+    levels = sentences.Levels()
+    for mark in ("1. ", "(a) ", "(b) ", "(i) ", "(ii) ", "(c) ", "2. "):
+        goes_on = levels.goes_on(mark)
+        levels.enter(mark)
+        assert goes_on == (mark not in ("1. ", "(a) ", "(i) ")), mark
+    assert levels.stack == [("x.", (2,))] and not levels.goes_on("(d) ")
+    levels.enter("2.1. ")
+    assert levels.goes_on("2.2. ") and levels.goes_on("3. ") and not levels.goes_on("3.2. ")
+    text = "(a) one is fine? (b) two is not? (z) three."
+    assert [text[s:e] for s, e in sentences.sentences(text)] == ["(a) one is fine?", "(b) two is not?", "(z) three."]
+
+
+@pytest.mark.parametrize("unit", ["(", '"„“', "«(]»", "a.", "x. ", "No. ", "1. A ", "«a.  ", "A.b", "...!", "กก ", "z. B. ", "@x.Y", "\n", " .", "(a) ", "“a.” "])
+def test_time_is_linear(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    sentences.sentences(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_a_megabyte_of_unmatched_marks():
+    began = time.perf_counter()
+    sentences.sentences("([{«„" * 200_000)
+    assert time.perf_counter() - began < 6  # one to two seconds on an idle machine
+
+
 def test_units_and_blank_lines(spark):
     text = "﻿CHAPTER 2 - X\r\n \r\nA line\nwraps here. B.S. is\none.\n\nA | 1.5 | x. Y\nB | 2 | z! W\n\n\n\nend"
     want = ["CHAPTER 2 - X", "A line\nwraps here.", "B.S. is\none.", "A | 1.5 | x. Y\nB | 2 | z! W", "end"]
