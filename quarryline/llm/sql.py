@@ -41,4 +41,8 @@ LEFT JOIN (SELECT rec_table, rec_key, CAST(sum(least(160, gap)) AS BIGINT) AS sh
            FROM (SELECT rec_table, rec_key, coalesce(i - lag(i) OVER (PARTITION BY rec_table, rec_key ORDER BY i), 160) AS gap FROM hit)
            GROUP BY ALL) USING (rec_table, rec_key)""",
     "p5_found": _PAIRS + "SELECT id_a, id_b FROM pairs",
+    "p5_groups": _PAIRS.replace("WITH ids", "WITH RECURSIVE ids")
+    + """, edges AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach AS (SELECT id, id AS root FROM ids UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id)
+SELECT id, min(root) AS group_id, coalesce((SELECT count(*) FROM edges e WHERE e.a = reach.id), 0) AS links FROM reach GROUP BY id""",
 }

@@ -1,10 +1,13 @@
 import random
 import re
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarryline.llm import minhash as M
+from quarryline.llm import queries
 from quarryline.llm import spans as S
 from quarryline.llm.records import records
 
@@ -40,20 +43,37 @@ def test_pairs_against_brute_force(spark, bucket):
     assert got == pairs_of(rows, 0.7)
 
 
-@pytest.mark.parametrize("copies, again, bucket", [(70, 1, 64), (2, 8, 2)])
-def test_class_of_many_rows_hides_no_variant(spark, copies, again, bucket):
+@pytest.mark.parametrize("copies, again, bucket, parts", [(70, 1, 64, 4), (2, 8, 2, 4), (400, 1, 64, 4), (2, 400, 64, 100)])
+def test_class_of_many_rows_hides_no_variant(spark, copies, again, bucket, parts):
     """Copies of one text under more ids than a bucket holds, or one id delivered again in other tasks, beside variants."""
     rnd = random.Random(72)  # the copied text is the least class of all
     words = [f"w{rnd.randint(0, 300)}" for _ in range(80)]
-    rows = [(f"copy{i:02}", " ".join(words)) for i in range(copies)]
+    rows = [(f"copy{i:03}", " ".join(words)) for i in range(copies)]
     rows += [(f"near{i:02}", " ".join(words[: 5 * i] + [f"new{i}"] + words[5 * i :])) for i in range(14)]
-    df = spark.createDataFrame(rows * again, "id string, content string").repartition(4)
+    df = spark.createDataFrame(rows * again, "id string, content string").repartition(parts)
     want = pairs_of(rows, 0.7)
     got = {(r["id_a"], r["id_b"]) for r in M.near_pairs(df, "id", "content", 0.7, bucket=bucket).collect()}
-    assert got == want and ("copy00", "near13") in want
+    assert got == want and ("copy000", "near13") in want
     links = {k: sum(k in p for p in want) for k, _ in rows}
     got = {r["id"]: (r["group_id"], r["links"]) for r in M.near_groups(df, "id", "content", 0.7, bucket=bucket).collect()}
-    assert got == {k: ("copy00", n) for k, n in links.items()}
+    assert got == {k: ("copy000", n) for k, n in links.items()}
+
+
+@pytest.mark.parametrize("share, near", [(0.75, 0), (0.9, 30)])
+def test_boilerplate_in_hot_buckets(spark, share, near):
+    """3,000 texts with most of their words in common: all bands of the common part are full. Nothing similar is lost, and what
+    is looked at doesn't grow with the square of the texts unless they are similar."""
+    rnd = random.Random(7)
+    common = [f"c{i}" for i in range(int(200 * share))]
+    rows = []
+    for i in range(3000 if not near else 60):
+        own = [f"t{i // 2 if i < 20 else i}_{k}" for k in range(200 - len(common))]
+        rows.append((f"k{i:04}", " ".join(common + own + ([f"x{i}"] if i < 20 else []))))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "id string, content string")
+    got = {(r["id_a"], r["id_b"]) for r in M.near_pairs(df, "id", "content", 0.8, bucket=16).collect()}
+    pairs = {(f"k{i:04}", f"k{i + 1:04}") for i in range(0, 20, 2)}
+    assert got == pairs if not near else got == pairs_of(rows, 0.8) and len(got) > 1000
 
 
 def test_id_with_two_texts(spark):
@@ -81,8 +101,8 @@ def test_components_of_a_chain(spark):
 
 def test_components_of_a_long_chain(spark):
     """Least labels at one end, while all others grow from the other end on."""
-    n = 260
-    nodes = spark.createDataFrame([(i, "n" if i == 0 else f"n{n - i:03}") for i in range(n)], "node bigint, least string")
+    n = 5000
+    nodes = spark.createDataFrame([(i, "n" if i == 0 else f"n{n - i:04}") for i in range(n)], "node bigint, least string")
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(i + 1, i) for i in range(n - 1)], "a bigint, b bigint")
     assert {r["least"] for r in M.components(nodes, edges).collect()} == {"n"}
 
@@ -164,3 +184,19 @@ def test_passage_of_a_third_of_all_records(spark, monkeypatch, parts):
     for key in ("id = 'one'", "id <> 'one'", "crc32(id) % 2 = 0"):
         batches = [records(x, "t", "id", "content") for x in (df.where(key), df.where(f"NOT ({key})"))]
         assert {r["rec_key"] for r in S.records_sharing(batches).collect()} == want
+
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_rows_equal_sql(spark, name):
+    con = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    want = con.execute(queries.oracle_sql()[name])
+    cols = [c[0] for c in want.description]
+    df = queries.queries()[name](spark, str(DATA))
+    rows = lambda data: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in data)
+    assert sorted(df.columns) == sorted(cols) and rows(df.select(*cols).collect()) == rows(want.fetchall())
