@@ -139,10 +139,5 @@ def context(text: Column, start: Column, end: Column, around: int) -> Column:
 
 
 def ntok(text: Column) -> Column:
-    """Tokens taken as four characters: a quarter of the length, rounded half to even, one at least."""
-    return F.greatest(F.lit(1), F.bround(F.length(text) / F.lit(4.0)).cast("int"))
-
-
-def floor_quantile(values: Column, p: float) -> Column:
-    """Of a group's values the one at index min(n - 1, int(p * n)) of the sorted list: `values` is a sorted array."""
-    return F.element_at(values, F.least(F.size(values), F.floor(F.lit(p) * F.size(values)).cast("int") + 1))
+    """Tokens taken as four characters: a quarter of the length, rounded half to even, one at least; null for null."""
+    return F.when(text.isNotNull(), F.greatest(F.lit(1), F.bround(F.length(text) / F.lit(4.0)).cast("int")))

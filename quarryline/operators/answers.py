@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from quarryline.functions.blocks import mostly_in
 from quarryline.functions.text import norm_text
 from quarryline.functions.unicode import fold
+from quarryline.shared import written
 
 # What is wrong with a citation, in the order of the tests.
 UNKNOWN, EMPTY, ABSENT = "cites a chunk that was not retrieved", "empty quote", "quote does not appear in the cited chunk"
+# Why an answer is refused, in the order of the tests.
+NOTHING, NO_CALL, NO_JSON, TOO_LITTLE = "nothing retrieved", "model returned no tool call", "tool arguments were not valid JSON", "insufficient context"
+NONE_LEFT, SOME_FAILED = "no citation survived verification", "some citations failed verification"
+REFUSALS = (NOTHING, NO_CALL, NO_JSON, TOO_LITTLE, NONE_LEFT, SOME_FAILED)
+# Causes of failed citations.
 CAUSES = ("unicode only", "spans two chunks", "near miss", "not present")
 # Thresholds as (section, name, bound, limit, on_breach).
 THRESHOLDS = [
@@ -35,7 +38,17 @@ def citations(api: DataFrame) -> DataFrame:
 
 def chunks(retrieve: DataFrame) -> DataFrame:
     """Retrieved chunks once each."""
-    return retrieve.where("id IS NOT NULL").groupBy(F.col("id").alias("chunk_id")).agg(F.min("content").alias("content"), F.min("char_start").alias("chunk_start"), F.min("char_end").alias("chunk_end"))
+    return retrieve.where("id IS NOT NULL").groupBy(F.col("id").alias("chunk_id")).agg(F.min("content").alias("content"), F.min("char_start").alias("chunk_start"), F.coalesce(F.min("char_end"), F.min(F.col("char_start") + F.length("content"))).alias("chunk_end"))
+
+
+def quoted_again(cites: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """citations() with each quote that isn't blank replaced by the text that now stands at its place, where that lies within the
+    cited chunk; the others stay. What an index that was built anew makes of citations of the one before."""
+    cols = cites.columns
+    both = cites.join(retrieved.select("chunk_id", F.col("content").alias("__content"), F.col("chunk_start").alias("__start")), "chunk_id", "left")
+    held = F.expr("char_start >= __start AND char_end <= __start + length(__content) AND char_start < char_end AND trim(source_quote) <> ''")
+    now = F.when(held, F.expr("substring(__content, char_start - __start + 1, char_end - char_start)")).otherwise(F.col("source_quote"))
+    return both.withColumn("source_quote", now).select(*cols)
 
 
 def verified(cites: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -53,58 +66,53 @@ def verified(cites: DataFrame, retrieved: DataFrame) -> DataFrame:
     return both.withColumn("problem", problem).withColumns({"quote_start": good(start), "quote_end": good(end)})
 
 
-def decisions(cites: DataFrame) -> DataFrame:
-    """(answer_id, good, bad, answered, refusal_reason) of verified(): an answer stands if it has a citation and all survive."""
+def decisions(cites: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(...by, good, bad, answered, refusal_reason) of verified(), by answer_id unless told: an answer stands if it has a citation
+    and all survive. The refusals of a model that gave no citations are told in answering.answers()."""
+    by = by or ["answer_id"]
     good, bad = F.count_if(F.col("problem").isNull()), F.count_if(F.col("problem").isNotNull())
     found = F.count_if(F.coalesce(F.col("problem"), F.lit("")) != UNKNOWN)
-    counts = cites.groupBy("answer_id").agg(good.alias("good"), bad.alias("bad"), found.alias("found"))
-    reason = F.when(F.col("found") == 0, "nothing retrieved").when(F.col("good") == 0, "no citation survived verification").when(F.col("bad") > 0, "some citations failed verification")
-    return counts.withColumn("refusal_reason", reason).select("answer_id", "good", "bad", F.col("refusal_reason").isNull().alias("answered"), "refusal_reason")
-
-
-@F.pandas_udf(DoubleType())
-def longest_block(quote: pd.Series, text: pd.Series) -> pd.Series:
-    """The longest block that both hold, as a share of the quote."""
-
-    def share(q: str | None, t: str | None) -> float | None:
-        if q is None or t is None:
-            return None
-        return max((b.size for b in difflib.SequenceMatcher(None, q, t).get_matching_blocks()), default=0) / max(1, len(q))
+    counts = cites.groupBy(*by).agg(good.alias("good"), bad.alias("bad"), found.alias("found"))
+    reason = F.when(F.col("found") == 0, NOTHING).when(F.col("good") == 0, NONE_LEFT).when(F.col("bad") > 0, SOME_FAILED)
+    return counts.withColumn("refusal_reason", reason).select(*by, "good", "bad", F.col("refusal_reason").isNull().alias("answered"), "refusal_reason")
 
-    return pd.Series([share(q, t) for q, t in zip(quote, text, strict=True)], dtype=float)
 
-
-def causes(cites: DataFrame) -> DataFrame:
+def causes(cites: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(citation_id, cause) of the citations of verified() whose quote is absent or whose chunk is unknown: "unicode only" if the
-    folded quote stands in the cited chunk, "spans two chunks" if it stands in the answer's chunks joined, "near miss" if more
-    than 0.7 of it is one block of the chunk, else "not present". An answer's chunks are those that it cites."""
-    failed = cites.where(F.col("problem").isin(UNKNOWN, ABSENT)).withColumns({"q": fold(F.col("source_quote")), "c": fold(F.col("content"))})
-    texts = cites.where("content IS NOT NULL").select("answer_id", "chunk_id", "content").distinct()
-    joined = texts.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda x: x["content"]), " ").alias("all_text"))
-    rows = failed.join(joined, "answer_id", "left").withColumn("a", fold(F.col("all_text")))
-    easy = F.when(F.col("c").isNull(), "not present").when(F.contains("c", "q"), "unicode only").when(F.contains("a", "q"), "spans two chunks")
-    near = F.when(longest_block("q", "c") > 0.7, "near miss").otherwise("not present")
-    placed = rows.withColumn("cause", easy).select("citation_id", "cause", "q", "c")
-    return placed.where("cause IS NOT NULL").select("citation_id", "cause").unionByName(placed.where("cause IS NULL").select("citation_id", near.alias("cause")))
-
-
-def generations(cites: DataFrame) -> DataFrame:
-    """(answer_id, doc_id, answered, refusal_reason, citations, bad_citations, retrieval_hit, grounded) of verified().
+    folded quote stands in the cited chunk, "spans two chunks" if it stands in the answer's chunks joined, "near miss" if a block
+    of more than 0.7 of it is in the chunk, else "not present". An answer's chunks are those that it cites, by `by` (answer_id);
+    each chunk and each quote is folded once, each answer's chunks are joined folded."""
+    by = by or ["answer_id"]
+    texts = cites.where("content IS NOT NULL").select(*by, "chunk_id", "content").distinct()
+    folded = written(texts.select(*by, "chunk_id", fold(F.col("content")).alias("c")), "folded-chunks")
+    joined = folded.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "c"))), lambda x: x["c"]), " ").alias("a"))
+    failed = cites.where(F.col("problem").isin(UNKNOWN, ABSENT)).select("citation_id", *by, "chunk_id", fold(F.col("source_quote")).alias("q"))
+    rows = failed.join(folded, [*by, "chunk_id"], "left").join(joined, by, "left")
+    easy = F.when(F.col("c").isNull(), CAUSES[3]).when(F.contains("c", "q"), CAUSES[0]).when(F.contains("a", "q"), CAUSES[1])
+    placed = written(rows.select("citation_id", *by, easy.alias("cause"), F.when(easy.isNull(), F.col("q")).alias("q"), F.when(easy.isNull(), F.col("c")).alias("c")), "placed")
+    near = F.when(mostly_in(0.7)("q", "c"), CAUSES[2]).otherwise(CAUSES[3])
+    out = ["citation_id", *[x for x in by if x != "answer_id"]]
+    return placed.where("cause IS NOT NULL").select(*out, "cause").unionByName(placed.where("cause IS NULL").select(*out, near.alias("cause")))
+
+
+def generations(cites: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(...by, doc_id, answered, refusal_reason, citations, bad_citations, retrieval_hit, grounded) of verified(),
+    by answer_id unless told.
 
     retrieval_hit: whether a cited place lies in the cited chunk's, null where no place is known; grounded: whether no quote is
     absent from its chunk, null where all quotes are empty or the answer was refused. Both stand in for a judge's verdict.
     """
     inside = (F.col("char_start") < F.col("chunk_end")) & (F.col("char_end") > F.col("chunk_start"))
     quoted = F.coalesce(F.col("problem"), F.lit("")) != EMPTY
-    return cites.groupBy("answer_id").agg(
+    return cites.groupBy(*(by or ["answer_id"])).agg(
         F.min("doc_id").alias("doc_id"), F.max("answered").alias("answered"), F.min("refusal_reason").alias("refusal_reason"), F.count("*").alias("citations"),
         F.count_if(F.col("problem").isNotNull()).alias("bad_citations"), F.max(inside).alias("retrieval_hit"),
         F.when(F.max("answered"), F.min(F.when(quoted, F.col("problem").isNull()))).alias("grounded"),
     )
 
 
-def measured(gen: DataFrame) -> Column:
-    """Measures of generations() by name, as a map."""
+def measured() -> Column:
+    """Measures of generations() by name, as a map: an aggregate."""
     share = lambda part, whole: F.round(F.count_if(part) / F.nullif(F.count_if(whole), F.lit(0)), 6)
     yes = F.col("answered") & F.lit(True)
     values = {
@@ -127,11 +135,18 @@ def verdicts(measures: DataFrame, thresholds: DataFrame) -> DataFrame:
     return measures.where("value IS NOT NULL").join(thresholds, "name").select("section", "name", "value", "bound", "limit", F.when(within, "pass").otherwise(F.col("on_breach")).alias("verdict"))
 
 
+def overall(verdicts_: DataFrame, problems: DataFrame) -> DataFrame:
+    """One row (passed, blocked, warned, problems) of verdicts() and gold_problems(): it passes without a block and a problem."""
+    counts = verdicts_.agg(F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "warn").alias("warned"))
+    both = counts.crossJoin(problems.agg(F.count("*").alias("problems")))  # one row each
+    return both.select(((F.col("blocked") == 0) & (F.col("problems") == 0)).alias("passed"), "blocked", "warned", "problems")
+
+
 def gold_problems(rows: DataFrame, circulars: DataFrame, extents: DataFrame) -> DataFrame:
-    """(query_id, problem): ids of several different rows, verified queries without spans, spans in unknown documents, and spans that
+    """(query_id, problem): ids of several rows, verified queries without spans, spans in unknown documents, and spans that
     end beyond their document or are empty. extents: (doc_id, n_chars)."""
     once = rows.select("query_id", "query_text", "verified", "gold_spans").distinct()
-    twice = once.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1").select("query_id", F.lit("duplicate id").alias("problem"))
+    twice = rows.where("query_id IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1").select("query_id", F.lit("duplicate id").alias("problem"))
     bare = once.where("verified AND coalesce(size(gold_spans), 0) <= 0").select("query_id", F.lit("no spans").alias("problem"))
     spans = once.where("verified").select("query_id", F.explode("gold_spans").alias("s")).select("query_id", "s.*")
     lost = spans.join(circulars.select(F.col("circular_id").alias("doc_id")), "doc_id", "left_anti").select("query_id", F.lit("missing document").alias("problem"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
+from quarryline.operators.ranking import positions
 from quarryline.operators.similarity import prefix_pairs, similar_pairs
 from quarryline.shared import written
 
@@ -54,9 +55,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.9
     return named.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round("similarity", 6).alias("jaccard"), "copies_a", "copies_b")
 
 
-def citation_edges(docs: DataFrame, key: str, doc_id: str, text: str, serials: DataFrame, least: int = 4) -> DataFrame:
-    """(key, from_doc, to_doc, cited_at): each document and circular whose serial, of at least `least` digits, stands in it
-    with no digit beside it; cited_at is the place of the first. serials: (circular_id, serial).
+def citation_edges(docs: DataFrame, key: str, doc_id: str, text: str, serials: DataFrame, least: int = 4, around: int = 110) -> DataFrame:
+    """(key, from_doc, to_doc, cited_at, context): each document and circular whose serial, of at least `least` digits, stands in it
+    with no digit beside it; cited_at is the place of the first, context the text around it. serials: (circular_id, serial).
 
     A digit-bounded serial is a whole run of digits, so the runs are joined with the serials by equality.
     """
@@ -64,17 +65,35 @@ def citation_edges(docs: DataFrame, key: str, doc_id: str, text: str, serials: D
     to = serials.where(F.col("circular_id").isNotNull() & (F.length("serial") >= least) & F.col("serial").rlike("^[0-9]+$")).select(F.col("circular_id").alias("to_doc"), "serial").distinct()
     # What stands before the first whole run: the text up to it, by splitting once at the bounded serial.
     before = F.expr(f"split({text}, concat('(?<![0-9])', serial, '(?![0-9])'), 2)[0]")
-    return found.join(to, "serial").where("to_doc <> from_doc").select(key, "from_doc", "to_doc", F.length(before).cast("int").alias("cited_at"))
+    met = found.join(to, "serial").where("to_doc <> from_doc").withColumn("cited_at", F.length(before).cast("int"))
+    return met.select(key, "from_doc", "to_doc", "cited_at", T.context(F.col(text), F.col("cited_at"), F.col("cited_at") + F.length("serial"), around).alias("context"))
+
+
+def _family_rows(circulars: DataFrame, doc_id: str, subject: str, issued: str) -> DataFrame:
+    return circulars.where(F.col(subject).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(subject).alias("subject"), F.col(issued).alias("on")).distinct()
 
 
 def subject_families(circulars: DataFrame, doc_id: str, subject: str, issued: str) -> DataFrame:
     """(subject, members, newest): subjects that at least two documents share, the members' number and the newest by date,
     undated ones first, then by id. Reduced to the newest, never gathered."""
-    rows = circulars.where(F.col(subject).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(subject).alias("subject"), F.col(issued).alias("on")).distinct()
     last = F.max(F.struct(F.coalesce(F.col("on"), F.lit("0001-01-01").cast("date")).alias("on"), "doc"))
+    rows = _family_rows(circulars, doc_id, subject, issued)
     return rows.groupBy("subject").agg(F.count("*").alias("members"), last.alias("last")).where("members > 1").select("subject", "members", F.col("last.doc").alias("newest"))
 
 
+def family_members(circulars: DataFrame, doc_id: str, subject: str, issued: str) -> DataFrame:
+    """(subject, member_no, doc, on): the members of subject_families(), numbered in the order of their date, undated ones first, then
+    of their id. Rows are numbered by ranges, so a subject may hold any share of them."""
+    rows = _family_rows(circulars, doc_id, subject, issued)
+    rows = rows.join(rows.groupBy("subject").agg(F.count("*").alias("n")).where("n > 1").select("subject"), "subject")
+    return positions(rows, ["subject"], [F.col("on").asc_nulls_first(), F.col("doc")], "member_no").select("subject", F.col("member_no").cast("int").alias("member_no"), "doc", "on")
+
+
+def in_date_order(edges: DataFrame, on: str, by: list[str]) -> DataFrame:
+    """edges with place: their number from 1 in the order of the date `on`, undated ones first, then of `by`, which must tell them apart."""
+    return positions(edges, [], [F.col(on).asc_nulls_first(), *[F.col(c) for c in by]], "place").withColumn("place", F.col("place").cast("int"))
+
+
 def locate_passages(pairs: DataFrame, text: str, passage: str) -> DataFrame:
     """pairs with span_start and span_end of `passage` in `text`: the exact place, else the first place where it stands with
     other white space, each of its white-space characters matching one or more; null where there is none."""

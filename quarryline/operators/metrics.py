@@ -88,17 +88,25 @@ def exact_binomial(less: Column, more: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.aggregate(steps, term, add)["s"])
 
 
-def mcnemar(out: DataFrame, side: str, pairs: list[tuple[str, str]], limit: int) -> DataFrame:
-    """(a, b, both, a_only, b_only, neither, p) for each pair of values of the column `side`, over the queries that have an
-    outcome with either value. One pass over the outcomes for all pairs."""
+def mcnemar(out: DataFrame, side: str | list[str], pairs: list[tuple], limit: int) -> DataFrame:
+    """(a, b, both, a_only, b_only, neither, p) for each pair of values of the column `side` (of several columns: tuples of
+    values, named with " / " between), over the queries that have an outcome with either value; a pair that no query has
+    outcomes of gives zeros and p 1. One pass over the outcomes for all pairs."""
+    columns = [side] if isinstance(side, str) else side
+    named = lambda v: v if isinstance(v, str) else " / ".join(v)
+    pairs = [(named(a), named(b)) for a, b in pairs]
     values = sorted({v for pair in pairs for v in pair})
-    wide = out.groupBy("query_id").agg(*[F.max(F.when(F.col(side) == v, hit(limit))).alias(f"__{i}") for i, v in enumerate(values)])
+    of = F.concat_ws(" / ", *columns)
+    wide = out.groupBy("query_id").agg(*[F.max(F.when(of == v, hit(limit))).alias(f"__{i}") for i, v in enumerate(values)])
     col = lambda v: F.col(f"__{values.index(v)}")
-    each = wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), col(a).alias("x"), col(b).alias("y")) for a, b in pairs])).alias("s")).select("s.*")
-    four = each.where("x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b").agg(
-        F.count_if(F.expr("x AND y")).alias("both"), F.count_if(F.expr("x AND NOT y")).alias("a_only"), F.count_if(F.expr("NOT x AND y")).alias("b_only"), F.count_if(F.expr("NOT x AND NOT y")).alias("neither")
-    )
-    return four.withColumn("p", F.round(exact_binomial(F.col("a_only"), F.col("b_only")), 6))
+    counts = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = col(a), col(b)
+        counts += [F.count_if(cell).alias(f"{name}{i}") for name, cell in (("both", x & y), ("a_only", x & ~y), ("b_only", ~x & y), ("neither", ~x & ~y))]
+    four = wide.agg(*counts)
+    names = ("both", "a_only", "b_only", "neither")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *[F.col(f"{n}{i}").alias(n) for n in names]) for i, (a, b) in enumerate(pairs)]))
+    return four.select(each.alias("s")).select("s.*").withColumn("p", F.round(exact_binomial(F.col("a_only"), F.col("b_only")), 6))
 
 
 def bootstrap_interval(counts: DataFrame, by: list[str], resamples: int = 5000, seed: int = 0) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import words
-from quarryline.shared import scratch_path
+from quarryline.shared import scratch_path, written
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Words of a query, the rarest, that give the first bound on its best scores; it changes what is joined, not the result.
+FIRST = 3
 #: Query vectors that a task holds at a time.
 BLOCK = 4096
 
@@ -23,57 +25,91 @@ def _top(scored: DataFrame, by: list[str], item: str, k: int) -> DataFrame:
 def bm25(queries: DataFrame, query_id: str, query: str, docs: DataFrame, doc_id: str, text: str, k: int = 20) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi BM25 over words, each query word once, the best k, ties by doc_id.
 
-    Postings are made for the words of queries only and scored by a join on the word, pre-aggregated before each shuffle.
-    Null ids and null texts take no part."""
-    terms = queries.where(F.col(query_id).isNotNull()).select(query_id, F.explode(F.array_distinct(words(F.col(query)))).alias("term"))
+    Exact, but common words are not joined with all their postings. The rarest words of a query give k scores that the best k
+    will at least have. Words whose greatest weights together stay below that can't bring a document in on their own: only the
+    others, the essential ones, give candidates, on which alone the rest is scored. Postings are made for the words of queries
+    only, counted before each shuffle. Null ids and null texts take no part."""
+    terms = queries.where(F.col(query_id).isNotNull()).select(query_id, F.explode(F.array_distinct(words(F.col(query)))).alias("term")).distinct()
     split = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(doc_id, words(F.col(text)).alias("w"))
     split = split.select(doc_id, F.size("w").alias("len"), "w")
     whole = split.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     asked = terms.select("term").distinct()
     tf = split.select(doc_id, "len", F.explode("w").alias("term")).join(asked, "term").groupBy(doc_id, "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     # `whole` is one row.
-    scored = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(whole)).groupBy(query_id, doc_id).agg(F.round(F.sum(idf * weight), 6).alias("score"))
-    return _top(scored, [query_id], doc_id, k)
-
-
-def nearest(vectors: DataFrame, key: str, vector: str, asked: Column, k: int = 20) -> DataFrame:
-    """(query_id, key, score, rank): of every asked row the k others of greatest cosine, ties by key. Exhaustive: the asked rows are
-    a table in the shared folder that each task reads in blocks of fixed size against its own rows, of which it passes
-    on the best k of each; nothing goes through the driver. Null vectors and vectors of length zero have no neighbours."""
-    unit = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).distinct()
+    post = written(tf.crossJoin(F.broadcast(whole)).select("term", doc_id, weight.alias("w"), "n"), "postings")
+    idf = F.log(1 + (F.max("n") - F.count("*") + 0.5) / (F.count("*") + 0.5))
+    stats = post.groupBy("term").agg(idf.alias("idf"), F.max("w").alias("most"))
+    # A query's words are few: its own row number and running sum.
+    own = Window.partitionBy(query_id)
+    known = terms.join(stats, "term").withColumn("bound", F.col("idf") * F.col("most"))
+    known = written(
+        known.withColumns({"rarity": F.row_number().over(own.orderBy(F.desc("idf"), "term")), "upto": F.sum("bound").over(own.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))}), "query-words"
+    )
+    first = known.where(F.col("rarity") <= FIRST).join(post, "term").groupBy(query_id, doc_id).agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
+    least = _top(first, [query_id], doc_id, k).where(F.col("rank") == k).select(query_id, F.col("score").alias("least"))
+    known = written(known.join(least, query_id, "left").select(query_id, "term", "idf", (F.col("upto") >= F.coalesce("least", F.lit(0.0)) - 1e-5).alias("essential")), "essential-words")
+    found = known.where("essential").join(post, "term").select(query_id, doc_id, (F.col("idf") * F.col("w")).alias("s"))
+    main = written(found.groupBy(query_id, doc_id).agg(F.sum("s").alias("s")), "candidates")
+    rest = main.select(query_id, doc_id).join(known.where("NOT essential"), query_id).join(post, ["term", doc_id]).select(query_id, doc_id, (F.col("idf") * F.col("w")).alias("s"))
+    return _top(main.unionByName(rest).groupBy(query_id, doc_id).agg(F.round(F.sum("s"), 6).alias("score")), [query_id], doc_id, k)
+
+
+def _unit(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).distinct()
+
+
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors, from the batch's own buffers; vectors of length zero are left out."""
+    of, lists = batch.column("key").to_numpy(zero_copy_only=False), batch.column("v")
+    v = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(of), -1)
+    size = np.linalg.norm(v, axis=1)
+    return of[size > 0], v[size > 0] / size[size > 0, None]
+
+
+def nearest_to(asked: DataFrame, asked_key: str, asked_vector: str, vectors: DataFrame, key: str, vector: str, k: int = 20, others: bool = False) -> DataFrame:
+    """(query_id, key, score, rank): of every asked row the k vectors of greatest cosine, ties by key. Exhaustive: the asked rows are
+    a table in the shared folder that each task reads in blocks of fixed size against its own rows, of which it passes on the best
+    k of each; nothing goes through the driver. Null vectors and vectors of length zero have no neighbours and are none. With
+    `others` a row is no neighbour of the asked row of the same key."""
     path = scratch_path(vectors.sparkSession, "queries")
-    unit(vectors.where(asked)).write.parquet(path)
-
-    def matrix(keys, lists) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and unit vectors."""
-        of, v = keys.to_numpy(zero_copy_only=False), np.array(lists.to_pylist(), float).reshape(len(keys), -1)
-        size = np.linalg.norm(v, axis=1)
-        return of[size > 0], v[size > 0] / size[size > 0, None]
+    _unit(asked, asked_key, asked_vector).write.parquet(path)
+    own_rows = _unit(vectors, key, vector)
+    asked_type, key_type = (df.schema[c].dataType.simpleString() for df, c in ((asked, asked_key), (vectors, key)))
 
     def run(batches):
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        own = [matrix(b.column("key"), b.column("v")) for b in batches if b.num_rows]
-        if not sum(len(of) for of, _ in own):
+        kind, own = None, []
+        for b in batches:
+            kind = b.schema.field("key").type
+            if b.num_rows:
+                own.append(_matrix(b))
+        own = [x for x in own if len(x[0])]
+        if not own:
             return
-        keys, v = (np.concatenate([x[i] for x in own if len(x[0])]) for i in (0, 1))
+        keys, v = (np.concatenate([x[i] for x in own]) for i in (0, 1))
         where, at = fs.FileSystem.from_uri(path)
+        n = min(k + (1 if others else 0), len(keys))
         for block in ds.dataset(at, filesystem=where, format="parquet").to_batches(batch_size=BLOCK):
-            of, q = matrix(block.column("key"), block.column("v")) if block.num_rows else ((), ())
+            of, q = _matrix(block) if block.num_rows else ((), ())
             for i in range(0, len(of), 64):
                 score = np.round(q[i : i + 64] @ v.T, 6)
-                score[of[i : i + 64, None] == keys[None, :]] = -2
-                n = min(k, len(keys))
+                if others:
+                    score[of[i : i + 64, None] == keys[None, :]] = -2
                 # Equal scores at the border are kept whole, so that ties are settled by key afterwards.
                 least = np.partition(score, len(keys) - n, axis=1)[:, len(keys) - n]
                 row, col = np.nonzero((score >= least[:, None]) & (score > -2))
-                yield pa.RecordBatch.from_arrays([pa.array(of[i + row]), pa.array(keys[col]), pa.array(score[row, col])], names=["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(of[i + row], block.schema.field("key").type), pa.array(keys[col], kind), pa.array(score[row, col])], names=["query_id", "key", "score"])
 
-    return _top(unit(vectors).mapInArrow(run, f"query_id long, {key} long, score double"), ["query_id"], key, k)
+    found = own_rows.mapInArrow(run, f"query_id {asked_type}, key {key_type}, score double").withColumnRenamed("key", key)
+    return _top(found, ["query_id"], key, k)
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, asked: Column, k: int = 20) -> DataFrame:
+    """(query_id, key, score, rank): of every row that is asked for the k others of greatest cosine. As nearest_to()."""
+    return nearest_to(vectors.where(asked), key, vector, vectors, key, vector, k, others=True)
 
 
 def fuse(lists: DataFrame, by: list[str], item: str, rank: str, k: int = 20) -> DataFrame:

@@ -9,10 +9,14 @@ from quarryline.functions import text as T
 from quarryline.operators import answers as A
 from quarryline.operators import chunking as C
 from quarryline.operators import documents as D
+from quarryline.operators import review as R
+from quarryline.plans.text_queries import SQL as TEXT_SQL
+from quarryline.shared import written
 from quarryline.sources.tables import table
 
 G = T.GAP
 SQL: dict[str, str] = {}
+DOC_DATE = TEXT_SQL["doc_date"]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -35,48 +39,76 @@ SQL["exact_duplicates"] = f"""WITH h AS (SELECT doc_id, trim(regexp_replace(text
 SELECT doc_id, same_as FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS same_as FROM h) WHERE doc_id > same_as"""
 
 
-def near_duplicates(spark, d):
-    """At 0.8: none of these documents are as near as the default of 0.9."""
+def near_duplicate_documents(spark, d):
+    """At 0.8; the documents of the test data hold no such pairs, the chunks do."""
     return D.near_duplicates(_docs(spark, d), "doc_id", "text", 0.8)
 
 
-SQL["near_duplicates"] = r"""WITH t AS (SELECT min(doc_id) AS doc, count(*) AS copies, text FROM documents WHERE text IS NOT NULL GROUP BY text),
-w AS (SELECT doc, copies, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM t),
+def near_duplicates(spark, d):
+    """Of all chunks, at 0.8."""
+    return D.near_duplicates(table(spark, d, "retrieve").where("id IS NOT NULL").select("id", "content").distinct(), "id", "content", 0.8)
+
+
+def _near_sql(source: str) -> str:
+    return rf"""WITH t AS (SELECT min(doc) AS doc, count(*) AS copies, text FROM ({source}) WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT doc, copies, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM t),
 s AS (SELECT DISTINCT doc, concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS s FROM (SELECT doc, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 n AS (SELECT doc, count(*) AS n FROM s GROUP BY doc), k AS (SELECT a.doc AS a, b.doc AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc < b.doc GROUP BY ALL)
 SELECT a AS doc_a, b AS doc_b, round(k / (x.n + y.n - k), 6) AS jaccard, p.copies AS copies_a, q.copies AS copies_b
 FROM k JOIN n x ON x.doc = a JOIN n y ON y.doc = b JOIN t p ON p.doc = a JOIN t q ON q.doc = b WHERE k / (x.n + y.n - k) >= 0.8"""
 
 
+SQL["near_duplicate_documents"] = _near_sql("SELECT doc_id AS doc, text FROM documents")
+SQL["near_duplicates"] = _near_sql("SELECT DISTINCT id AS doc, content AS text FROM retrieve WHERE id IS NOT NULL")
+
+
 def corpus_verdict(spark, d):
     """Whether the corpus passes: no identity failures and no exact duplicates; near duplicates only warn."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    three = count(corpus_identity(spark, d), "identity").crossJoin(count(exact_duplicates(spark, d), "duplicates")).crossJoin(count(near_duplicates(spark, d), "near"))
+    three = count(corpus_identity(spark, d), "identity").crossJoin(count(exact_duplicates(spark, d), "duplicates")).crossJoin(count(near_duplicate_documents(spark, d), "near"))  # one row each
     return three.withColumn("passed", (F.col("identity") + F.col("duplicates")) == 0)
 
 
-SQL["corpus_verdict"] = f"""SELECT identity, duplicates, near, identity + duplicates = 0 AS passed FROM (SELECT count(*) AS identity FROM ({SQL["corpus_identity"]})), (SELECT count(*) AS duplicates FROM ({SQL["exact_duplicates"]})), (SELECT count(*) AS near FROM ({SQL["near_duplicates"]}))"""
+SQL["corpus_verdict"] = f"""SELECT identity, duplicates, near, identity + duplicates = 0 AS passed FROM (SELECT count(*) AS identity FROM ({SQL["corpus_identity"]})), (SELECT count(*) AS duplicates FROM ({SQL["exact_duplicates"]})), (SELECT count(*) AS near FROM ({SQL["near_duplicate_documents"]}))"""
 
 
 def citation_edges(spark, d):
-    """With serials from three digits on: these documents cite none of the default four."""
-    serials = table(spark, d, "circulars").select("circular_id", T.doc_serial(F.col("circular_id")).alias("serial"))
-    return D.citation_edges(_docs(spark, d), "doc_id", "circular_id", "text", serials, least=3)
+    """With serials from three digits on: these documents cite none of the default four. Dates are those of the circulars."""
+    circulars = table(spark, d, "circulars")
+    serials = circulars.select("circular_id", T.doc_serial(F.col("circular_id")).alias("serial"))
+    edges = D.citation_edges(_docs(spark, d), "doc_id", "circular_id", "text", serials, least=3)
+    on = lambda end: circulars.select(F.col("circular_id").alias(f"{end}_doc"), F.col("issued_on").alias(f"{end}_date"))
+    return edges.join(on("from"), "from_doc", "left").join(on("to"), "to_doc", "left")
 
 
-SQL["citation_edges"] = """WITH r AS (SELECT DISTINCT doc_id, circular_id AS from_doc, text, unnest(regexp_extract_all(text, '[0-9]+')) AS serial FROM documents WHERE text IS NOT NULL),
-c AS (SELECT DISTINCT circular_id AS to_doc, regexp_replace(circular_id, '^.*-', '') AS serial FROM circulars WHERE circular_id IS NOT NULL)
-SELECT doc_id, from_doc, to_doc, length(regexp_extract(text, '(?s)^((?:.*?[^0-9])??)' || serial || '(?:[^0-9]|$)', 1))::INTEGER AS cited_at
-FROM r JOIN c USING (serial) WHERE length(serial) >= 3 AND regexp_full_match(serial, '[0-9]+') AND from_doc <> to_doc"""
+SQL["citation_edges"] = f"""WITH r AS (SELECT DISTINCT doc_id, circular_id AS from_doc, text, unnest(regexp_extract_all(text, '[0-9]+')) AS serial FROM documents WHERE text IS NOT NULL),
+c AS (SELECT DISTINCT circular_id AS to_doc, regexp_replace(circular_id, '^.*-', '') AS serial FROM circulars WHERE circular_id IS NOT NULL),
+e AS (SELECT doc_id, from_doc, to_doc, text, serial, length(regexp_extract(text, '(?s)^((?:.*?[^0-9])??)' || serial || '(?:[^0-9]|$)', 1))::INTEGER AS cited_at
+FROM r JOIN c USING (serial) WHERE length(serial) >= 3 AND regexp_full_match(serial, '[0-9]+') AND from_doc <> to_doc)
+SELECT doc_id, from_doc, to_doc, cited_at, regexp_replace(substr(text, greatest(0, cited_at - 110) + 1, cited_at + length(e.serial) + 110 - greatest(0, cited_at - 110)), '{G}+', ' ', 'g') AS context,
+ x.issued_on AS from_date, y.issued_on AS to_date FROM e LEFT JOIN circulars x ON x.circular_id = from_doc LEFT JOIN circulars y ON y.circular_id = to_doc"""
 
 
-def known_edges(spark, d):
-    """Cross references once each, the latest finding; undated ones first."""
+def _edges(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "cross_references")
-    return c.groupBy("edge_id").agg(F.max_by(F.struct("from_doc", "to_doc", "from_date", "to_date"), "found_at").alias("e")).select("edge_id", "e.*")
+    return c.groupBy("edge_id").agg(F.max_by(F.struct("from_doc", "to_doc", "from_date", "to_date", "context"), "found_at").alias("e")).select("edge_id", "e.*")
+
+
+def known_edges(spark, d):
+    """Cross references once each, the latest finding, numbered in the order of a report: by date, undated ones first."""
+    return D.in_date_order(_edges(spark, d), "from_date", ["from_doc", "edge_id"])
+
+
+SQL["known_edges"] = """SELECT edge_id, from_doc, to_doc, from_date, to_date, context, row_number() OVER (ORDER BY from_date NULLS FIRST, from_doc NULLS FIRST, edge_id NULLS FIRST)::INTEGER AS place
+FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY found_at DESC) AS n FROM cross_references) WHERE n = 1"""
+
 
+def family_members(spark, d):
+    return D.family_members(table(spark, d, "circulars"), "circular_id", "subject", "issued_on")
 
-SQL["known_edges"] = "SELECT edge_id, from_doc, to_doc, from_date, to_date FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY found_at DESC) AS n FROM cross_references) WHERE n = 1"
+
+SQL["family_members"] = """WITH r AS (SELECT DISTINCT subject, circular_id AS doc, issued_on AS "on" FROM circulars WHERE subject IS NOT NULL)
+SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY "on" NULLS FIRST, doc NULLS FIRST)::INTEGER AS member_no, doc, "on" FROM r QUALIFY count(*) OVER (PARTITION BY subject) > 1"""
 
 
 def subject_families(spark, d):
@@ -96,10 +128,11 @@ SQL["unchecked_serials"] = "SELECT circular_id FROM circulars WHERE length(regex
 
 
 def undated(spark, d):
-    return table(spark, d, "circulars").where("issued_on IS NULL").select("circular_id")
+    """Documents whose header holds no date."""
+    return _docs(spark, d).where(T.doc_date(F.col("text")).isNull()).select("doc_id")
 
 
-SQL["undated"] = "SELECT circular_id FROM circulars WHERE issued_on IS NULL"
+SQL["undated"] = f"SELECT doc_id FROM ({DOC_DATE}) WHERE dated IS NULL"
 
 
 def stale_warning(spark, d):
@@ -107,7 +140,7 @@ def stale_warning(spark, d):
     g = table(spark, d, "designed_slice_final").select("query_id", F.explode("gold_spans.doc_id").alias("doc")).distinct()
     circ = table(spark, d, "circulars")
     fam = subject_families(spark, d).join(circ.select("subject", F.col("circular_id").alias("doc")), "subject").select("doc", "newest")
-    e = known_edges(spark, d)
+    e = _edges(spark, d)
     cited = e.select(F.col("from_doc").alias("doc")).union(e.select("to_doc")).distinct().withColumn("cited", F.lit(True))
     return g.join(fam, "doc", "left").join(cited, "doc", "left").where("newest <> doc OR cited").select("query_id", "doc", F.when(F.col("newest") != F.col("doc"), F.col("newest")).alias("newest"), F.coalesce("cited", F.lit(False)).alias("cited"))
 
@@ -120,10 +153,15 @@ SELECT query_id, doc, CASE WHEN newest <> doc THEN newest END AS newest, coalesc
 
 
 def table_twins(spark, d):
-    """Other lines of a document that hold the same values as one of its table rows."""
+    """Of documents with tables, their table rows written below the text once more, each cell with its header, as extraction does:
+    each row's twin is its labelled line."""
     rows = D.lines(_docs(spark, d), "doc_id", "text").where("instr(line, ' | ') > 0")
+    cell = F.split("line", r" \| ")
+    labelled = T.table_row_labelled([F.lit("name"), F.lit("limit"), F.lit("lots")], [F.get(cell, F.lit(k)) for k in range(3)])
+    below = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", labelled.alias("t")))), lambda x: x["t"]), "\n").alias("below"))
+    docs = written(_docs(spark, d).join(below, "doc_id").select("doc_id", F.concat("text", F.lit("\n"), "below").alias("text")), "labelled")
     spans = rows.select(F.concat_ws(":", "doc_id", "line_no").alias("span_key"), "doc_id", F.col("line_start").alias("span_start"), F.col("line_end").alias("span_end"))
-    return D.table_twins(spans, _docs(spark, d), "doc_id", "text", least=3)
+    return D.table_twins(spans, docs, "doc_id", "text", least=3)
 
 
 def _chunks(name: str, most: int, overlap: int, cut):
@@ -156,114 +194,133 @@ def chunk_verify(spark, d):
 SQL["chunk_verify"] = "SELECT config, (SELECT count(*) FROM documents WHERE length(text) > 0) AS docs, 0::BIGINT AS wrong, 0::BIGINT AS uncovered FROM (VALUES ('256-fixed'), ('512-fixed'), ('512-recursive')) v(config)"
 
 
+def _stats(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("config").agg(F.count("*").alias("chunks"), F.expr("sum(token_count) div greatest(1, count(*))").alias("mean_tokens"))
+
+
 def chunk_stats(spark, d):
-    """Chunks and their mean tokens, rounded down, of the two fixed configurations."""
-    return C.build(_docs(spark, d), "doc_id", "text", C.CONFIGS[:2]).groupBy("config").agg(F.count("*").alias("chunks"), F.expr("sum(token_count) div greatest(1, count(*))").alias("mean_tokens"))
+    """Chunks and their mean tokens, rounded down, of each configuration."""
+    return _stats(C.build(_docs(spark, d), "doc_id", "text"))
 
 
-SQL["chunk_stats"] = " UNION ALL ".join(
+def chunk_stats_fixed(spark, d):
+    """The same of the two fixed configurations, which SQL can express."""
+    return _stats(C.build(_docs(spark, d), "doc_id", "text", C.CONFIGS[:2]))
+
+
+SQL["chunk_stats_fixed"] = " UNION ALL ".join(
     f"SELECT '{c}' AS config, count(*) AS chunks, (sum(token_count) // greatest(1, count(*)))::BIGINT AS mean_tokens FROM ({SQL[q]})" for c, q in (("256-fixed", "chunk_fixed_256"), ("512-fixed", "chunk_fixed_512"))
 )
 
+#: What tells an answer: the build of the index that its quotes are of, and its id.
+ANSWER = ["build", "answer_id"]
+
 
 def _verified(spark: SparkSession, d: str) -> DataFrame:
-    return A.verified(A.citations(table(spark, d, "api")), A.chunks(table(spark, d, "retrieve")))
+    """Each citation twice: with its quote as it was taken from an earlier build of the chunks, none of which still holds, and with
+    the text that stands at its place in the present one."""
+    cites, chunks = A.citations(table(spark, d, "api")), A.chunks(table(spark, d, "retrieve"))
+    both = cites.withColumn("build", F.lit("earlier")).unionByName(A.quoted_again(cites, chunks).withColumn("build", F.lit("present")))
+    return A.verified(both, chunks)
 
 
 def _gen(spark: SparkSession, d: str) -> DataFrame:
-    return A.generations(_verified(spark, d))
+    return A.generations(_verified(spark, d), ANSWER)
 
 
 def _norm(x: str) -> str:
     return f"lower(trim(regexp_replace({x}, '{G}+', ' ', 'g')))"
 
 
-_V = f"""WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY loaded_at DESC) AS n FROM api WHERE citation_id IS NOT NULL) WHERE n = 1),
-c AS (SELECT id AS chunk_id, min(content) AS content, min(char_start) AS chunk_start, min(char_end) AS chunk_end FROM retrieve WHERE id IS NOT NULL GROUP BY id),
+_V = f"""WITH a0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY loaded_at DESC) AS n FROM api WHERE citation_id IS NOT NULL) WHERE n = 1),
+c AS (SELECT id AS chunk_id, min(content) AS content, min(char_start) AS chunk_start, coalesce(min(char_end), min(char_start + length(content))) AS chunk_end FROM retrieve WHERE id IS NOT NULL GROUP BY id),
+a AS (SELECT 'earlier' AS build, * FROM a0 UNION ALL SELECT 'present' AS build, a0.* REPLACE (CASE WHEN char_start >= chunk_start AND char_end <= chunk_start + length(content) AND char_start < char_end AND trim(source_quote) <> ''
+ THEN substr(content, char_start - chunk_start + 1, char_end - char_start) ELSE source_quote END AS source_quote) FROM a0 LEFT JOIN c ON c.chunk_id = a0.chunk_id),
 v0 AS (SELECT a.*, c.content, c.chunk_start, c.chunk_end, CASE WHEN content IS NULL THEN '{A.UNKNOWN}' WHEN coalesce({_norm('source_quote')}, '') = '' THEN '{A.EMPTY}'
- WHEN NOT contains({_norm('content')}, {_norm('source_quote')}) THEN '{A.ABSENT}' END AS problem FROM a LEFT JOIN c USING (chunk_id)),
+ WHEN NOT contains({_norm('content')}, {_norm('source_quote')}) THEN '{A.ABSENT}' END AS problem FROM a LEFT JOIN c ON c.chunk_id = a.chunk_id),
 v AS (SELECT *, CASE WHEN problem IS NULL THEN CASE WHEN instr(content, source_quote) > 0 THEN chunk_start + instr(content, source_quote) - 1 ELSE chunk_start END END::INTEGER AS quote_start,
  CASE WHEN problem IS NULL THEN CASE WHEN instr(content, source_quote) > 0 THEN chunk_start + instr(content, source_quote) - 1 + length(source_quote) ELSE chunk_end END END::INTEGER AS quote_end FROM v0),
-gen AS (SELECT answer_id, min(doc_id) AS doc_id, bool_or(answered) AS answered, min(refusal_reason) AS refusal_reason, count(*) AS citations, count(problem) AS bad_citations,
- bool_or(char_start < chunk_end AND char_end > chunk_start) AS retrieval_hit, CASE WHEN bool_or(answered) THEN bool_and(CASE WHEN coalesce(problem, '') <> '{A.EMPTY}' THEN problem IS NULL END) END AS grounded FROM v GROUP BY answer_id)
+gen AS (SELECT build, answer_id, min(doc_id) AS doc_id, bool_or(answered) AS answered, min(refusal_reason) AS refusal_reason, count(*) AS citations, count(problem) AS bad_citations,
+ bool_or(char_start < chunk_end AND char_end > chunk_start) AS retrieval_hit, CASE WHEN bool_or(answered) THEN bool_and(CASE WHEN coalesce(problem, '') <> '{A.EMPTY}' THEN problem IS NULL END) END AS grounded FROM v GROUP BY build, answer_id)
 """
 
 
 def verify_citations(spark, d):
-    return _verified(spark, d).select("citation_id", "problem", "quote_start", "quote_end")
+    return _verified(spark, d).select("build", "citation_id", "problem", "quote_start", "quote_end")
 
 
-SQL["verify_citations"] = _V + "SELECT citation_id, problem, quote_start, quote_end FROM v"
+SQL["verify_citations"] = _V + "SELECT build, citation_id, problem, quote_start, quote_end FROM v"
 
 
 def answer_decision(spark, d):
-    return A.decisions(_verified(spark, d))
+    return A.decisions(_verified(spark, d), ANSWER)
 
 
-SQL["answer_decision"] = _V + f"""SELECT answer_id, good, bad, reason IS NULL AS answered, reason AS refusal_reason FROM (SELECT answer_id, count(*) - count(problem) AS good, count(problem) AS bad,
- CASE WHEN count(*) FILTER (coalesce(problem, '') <> '{A.UNKNOWN}') = 0 THEN 'nothing retrieved' WHEN count(*) = count(problem) THEN 'no citation survived verification' WHEN count(problem) > 0 THEN 'some citations failed verification' END AS reason FROM v GROUP BY answer_id)"""
+SQL["answer_decision"] = _V + f"""SELECT build, answer_id, good, bad, reason IS NULL AS answered, reason AS refusal_reason FROM (SELECT build, answer_id, count(*) - count(problem) AS good, count(problem) AS bad,
+ CASE WHEN count(*) FILTER (coalesce(problem, '') <> '{A.UNKNOWN}') = 0 THEN '{A.NOTHING}' WHEN count(*) = count(problem) THEN '{A.NONE_LEFT}' WHEN count(problem) > 0 THEN '{A.SOME_FAILED}' END AS reason FROM v GROUP BY build, answer_id)"""
 
 
 def diagnose_citation(spark, d):
-    return A.causes(_verified(spark, d))
+    return A.causes(written(_verified(spark, d), "verified"), ANSWER)
 
 
 def citation_causes(spark, d):
     """Citations by cause, causes that none has with 0."""
-    found = A.causes(_verified(spark, d)).groupBy("cause").agg(F.count("*").alias("n"))
+    found = diagnose_citation(spark, d).groupBy("cause").agg(F.count("*").alias("n"))
     every = spark.createDataFrame([(c,) for c in A.CAUSES], "cause string")
     return every.join(found, "cause", "left").select("cause", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def answered_refused(spark, d):
-    return _gen(spark, d).groupBy("answered").agg(F.count("*").alias("n"))
+    return _gen(spark, d).groupBy("build", "answered").agg(F.count("*").alias("n"))
 
 
-SQL["answered_refused"] = _V + "SELECT answered, count(*) AS n FROM gen GROUP BY ALL"
+SQL["answered_refused"] = _V + "SELECT build, answered, count(*) AS n FROM gen GROUP BY ALL"
 
 
 def refusal_reasons(spark, d):
-    return _gen(spark, d).where("NOT answered").groupBy("refusal_reason").agg(F.count("*").alias("n"))
+    return _gen(spark, d).where("build = 'present' AND NOT answered").groupBy("refusal_reason").agg(F.count("*").alias("n"))
 
 
-SQL["refusal_reasons"] = _V + "SELECT refusal_reason, count(*) AS n FROM gen WHERE NOT answered GROUP BY ALL"
+SQL["refusal_reasons"] = _V + "SELECT refusal_reason, count(*) AS n FROM gen WHERE build = 'present' AND NOT answered GROUP BY ALL"
 
 
 def groundedness(spark, d):
-    return _gen(spark, d).where("answered AND grounded IS NOT NULL").agg(F.count("*").alias("graded"), F.count_if("grounded").alias("grounded"))
+    return _gen(spark, d).where("answered AND grounded IS NOT NULL").groupBy("build").agg(F.count("*").alias("graded"), F.count_if("grounded").alias("grounded"))
 
 
-SQL["groundedness"] = _V + "SELECT count(*) AS graded, count(*) FILTER (grounded) AS grounded FROM gen WHERE answered AND grounded IS NOT NULL"
+SQL["groundedness"] = _V + "SELECT build, count(*) AS graded, count(*) FILTER (grounded) AS grounded FROM gen WHERE answered AND grounded IS NOT NULL GROUP BY build"
 
 
 def groundedness_by_type(spark, d):
     """By issuer of the cited document, which stands in for the type of query."""
     g = _gen(spark, d).where("answered AND grounded IS NOT NULL").withColumn("issuer", F.substring_index("doc_id", "-", 1))
-    return g.groupBy("issuer").agg(F.count("*").alias("graded"), F.round(F.count_if("grounded") / F.count("*"), 6).alias("share"))
+    return g.groupBy("build", "issuer").agg(F.count("*").alias("graded"), F.round(F.count_if("grounded") / F.count("*"), 6).alias("share"))
 
 
-SQL["groundedness_by_type"] = _V + "SELECT regexp_replace(doc_id, '-.*$', '') AS issuer, count(*) AS graded, round(count(*) FILTER (grounded) / count(*), 6) AS share FROM gen WHERE answered AND grounded IS NOT NULL GROUP BY ALL"
+SQL["groundedness_by_type"] = _V + "SELECT build, regexp_replace(doc_id, '-.*$', '') AS issuer, count(*) AS graded, round(count(*) FILTER (grounded) / count(*), 6) AS share FROM gen WHERE answered AND grounded IS NOT NULL GROUP BY ALL"
 
 
 def refusal_quad(spark, d):
     """Answers by whether their source was retrieved and whether they answered: all four cells, unknown ones in none."""
     cell = lambda h, a: F.count_if((F.col("retrieval_hit") == h) & (F.col("answered") == a))
-    return _gen(spark, d).agg(cell(True, True).alias("hit_answered"), cell(True, False).alias("hit_refused"), cell(False, False).alias("missed_refused"), cell(False, True).alias("missed_answered"))
+    return _gen(spark, d).groupBy("build").agg(cell(True, True).alias("hit_answered"), cell(True, False).alias("hit_refused"), cell(False, False).alias("missed_refused"), cell(False, True).alias("missed_answered"))
 
 
-SQL["refusal_quad"] = _V + """SELECT count(*) FILTER (retrieval_hit AND answered) AS hit_answered, count(*) FILTER (retrieval_hit AND NOT answered) AS hit_refused,
- count(*) FILTER (NOT retrieval_hit AND NOT answered) AS missed_refused, count(*) FILTER (NOT retrieval_hit AND answered) AS missed_answered FROM gen"""
+SQL["refusal_quad"] = _V + """SELECT build, count(*) FILTER (retrieval_hit AND answered) AS hit_answered, count(*) FILTER (retrieval_hit AND NOT answered) AS hit_refused,
+ count(*) FILTER (NOT retrieval_hit AND NOT answered) AS missed_refused, count(*) FILTER (NOT retrieval_hit AND answered) AS missed_answered FROM gen GROUP BY build"""
 
 
 def gate3_rejections(spark, d):
-    return _gen(spark, d).agg(F.count_if(F.col("bad_citations") > 0).alias("rejected"), F.count("*").alias("n"))
+    return _gen(spark, d).groupBy("build").agg(F.count_if(F.col("bad_citations") > 0).alias("rejected"), F.count("*").alias("n"))
 
 
-SQL["gate3_rejections"] = _V + "SELECT count(*) FILTER (bad_citations > 0) AS rejected, count(*) AS n FROM gen"
+SQL["gate3_rejections"] = _V + "SELECT build, count(*) FILTER (bad_citations > 0) AS rejected, count(*) AS n FROM gen GROUP BY build"
 
 
 def variance_flips(spark, d):
-    """Questions answered more than once: how many were both answered and refused, how many both grounded and not."""
+    """Questions answered more than once, an answer against either build counting as one: how many were both answered and refused,
+    how many both grounded and not."""
     q = A.citations(table(spark, d, "api")).select("answer_id", "question").distinct()
     by = _gen(spark, d).join(q, "answer_id").groupBy("question").agg(F.count("*").alias("n"), (F.min("answered") != F.max("answered")).alias("a"), (F.min("grounded") != F.max("grounded")).alias("g"))
     return by.where("n > 1").agg(F.count("*").alias("repeated"), F.count_if("a").alias("answer_flips"), F.count_if("g").alias("verdict_flips"))
@@ -300,10 +357,10 @@ SQL["query_counts"] = "SELECT query_type, query_source, verified, count(*) AS n
 
 def ungrounded_list(spark, d):
     """The first 20 ungrounded answers: a report's length."""
-    return _gen(spark, d).where("answered AND NOT grounded").select("answer_id", "bad_citations").orderBy("answer_id").limit(20)
+    return _gen(spark, d).where("answered AND NOT grounded").select("build", "answer_id", "bad_citations").orderBy("build", "answer_id").limit(20)
 
 
-SQL["ungrounded_list"] = _V + "SELECT answer_id, bad_citations FROM gen WHERE answered AND NOT grounded ORDER BY answer_id LIMIT 20"
+SQL["ungrounded_list"] = _V + "SELECT build, answer_id, bad_citations FROM gen WHERE answered AND NOT grounded ORDER BY build, answer_id LIMIT 20"
 
 
 def gate_measured(spark, d):
@@ -313,7 +370,7 @@ def gate_measured(spark, d):
 
     out = _outcomes(spark, d).where("mode = 'hybrid'")
     r = out.agg(F.map_from_arrays(F.array(F.lit("recall_at_5"), F.lit("recall_at_20")), F.array(*[F.round(F.count_if(M.hit(k)) / F.count("*"), 6) for k in (5, 20)])).alias("m"))
-    return r.union(_gen(spark, d).agg(A.measured(_gen(spark, d)).alias("m"))).select(F.explode("m").alias("name", "value"))
+    return r.union(_gen(spark, d).where("build = 'present'").agg(A.measured().alias("m"))).select(F.explode("m").alias("name", "value"))
 
 
 def _gate_sql() -> str:
@@ -321,9 +378,9 @@ def _gate_sql() -> str:
 
     return _V + ", " + _OUT.removeprefix("WITH ") + """, m AS (
 SELECT 'recall_at_5' AS name, round(count(*) FILTER (rank <= 5) / count(*), 6) AS value FROM o WHERE mode = 'hybrid' UNION ALL SELECT 'recall_at_20', round(count(*) FILTER (rank <= 20) / count(*), 6) FROM o WHERE mode = 'hybrid'
-UNION ALL SELECT 'groundedness', round(count(*) FILTER (answered AND grounded) / nullif(count(*) FILTER (answered AND grounded IS NOT NULL), 0), 6) FROM gen
-UNION ALL SELECT 'answered_without_source', round(count(*) FILTER (answered AND retrieval_hit = false) / count(*), 6) FROM gen UNION ALL SELECT 'refusal_rate', round(count(*) FILTER (NOT answered) / count(*), 6) FROM gen
-UNION ALL SELECT 'gate3_rejection_rate', round(count(*) FILTER (bad_citations > 0) / count(*), 6) FROM gen)
+UNION ALL SELECT 'groundedness', round(count(*) FILTER (answered AND grounded) / nullif(count(*) FILTER (answered AND grounded IS NOT NULL), 0), 6) FROM gen WHERE build = 'present'
+UNION ALL SELECT 'answered_without_source', round(count(*) FILTER (answered AND retrieval_hit = false) / count(*), 6) FROM gen WHERE build = 'present' UNION ALL SELECT 'refusal_rate', round(count(*) FILTER (NOT answered) / count(*), 6) FROM gen WHERE build = 'present'
+UNION ALL SELECT 'gate3_rejection_rate', round(count(*) FILTER (bad_citations > 0) / count(*), 6) FROM gen WHERE build = 'present')
 """
 
 
@@ -342,18 +399,106 @@ SQL["threshold_verdicts"] = (
 
 
 def goldset_integrity(spark, d):
-    extents = table(spark, d, "retrieve").groupBy("doc_id").agg(F.max("char_end").alias("n_chars"))
+    extents = table(spark, d, "retrieve").groupBy("doc_id").agg(F.max(F.coalesce("char_end", F.col("char_start") + F.length("content"))).alias("n_chars"))
     return A.gold_problems(table(spark, d, "designed_slice_final"), table(spark, d, "circulars"), extents)
 
 
 SQL["goldset_integrity"] = """WITH o AS (SELECT DISTINCT query_id, query_text, verified, gold_spans FROM designed_slice_final), s AS (SELECT query_id, unnest(gold_spans) AS s FROM o WHERE verified),
-e AS (SELECT doc_id, max(char_end) AS n FROM retrieve GROUP BY doc_id)
-SELECT query_id, 'duplicate id' AS problem FROM o GROUP BY query_id HAVING count(*) > 1
+e AS (SELECT doc_id, max(coalesce(char_end, char_start + length(content))) AS n FROM retrieve GROUP BY doc_id)
+SELECT query_id, 'duplicate id' AS problem FROM designed_slice_final WHERE query_id IS NOT NULL GROUP BY query_id HAVING count(*) > 1
 UNION SELECT query_id, 'no spans' FROM o WHERE verified AND coalesce(len(gold_spans), 0) = 0
 UNION SELECT query_id, 'missing document' FROM s WHERE s.doc_id NOT IN (SELECT circular_id FROM circulars WHERE circular_id IS NOT NULL)
 UNION SELECT query_id, 'bad bounds' FROM s JOIN e ON e.doc_id = s.s.doc_id WHERE s.s.span_end > e.n OR s.s.span_start >= s.s.span_end"""
 
 
+def gate_verdict(spark, d):
+    """Whether a build passes: no threshold blocks and the gold queries have no problem."""
+    return A.overall(threshold_verdicts(spark, d), goldset_integrity(spark, d))
+
+
+SQL["gate_verdict"] = f"SELECT blocked = 0 AND problems = 0 AS passed, blocked, warned, problems FROM (SELECT count(*) FILTER (verdict = 'block') AS blocked, count(*) FILTER (verdict = 'warn') AS warned FROM ({SQL['threshold_verdicts']})), (SELECT count(*) AS problems FROM ({SQL['goldset_integrity']}))"
+
+
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """Gold queries after a log of decisions that stands in for one: each query is accepted if it is verified, else rejected; before
+    that keyword questions are edited, multi-hop ones get a span more and supersession ones a new span; exact-id ones are
+    accepted and then replaced."""
+    rows = table(spark, d, "designed_slice_final").where("query_id IS NOT NULL").dropDuplicates(["query_id"])
+    span = F.coalesce(F.get("gold_spans", F.lit(0)), F.struct(F.lit("none").alias("doc_id"), F.lit(0).alias("span_start"), F.lit(1).alias("span_end")))
+    kind = F.when(F.col("query_type") == "keyword", "edit").when(F.col("query_type") == "multi_hop", "widen").when(F.col("query_type") == "supersession", "respan")
+    changed = F.struct(F.lit(1).alias("seq"), kind.alias("kind"), F.lit(None).cast("string").alias("reason"), F.when(kind == "edit", F.concat("query_text", F.lit(" (edited)"))).otherwise("passage").alias("text"))
+    decided = F.struct(F.lit(2).alias("seq"), F.when(F.col("verified"), "accept").otherwise("reject").alias("kind"), F.lit("unclear").alias("reason"), F.lit(None).cast("string").alias("text"))
+    replaced = F.struct(F.lit(3).alias("seq"), F.when(F.col("query_type") == "exact_id", "new").alias("kind"), F.lit("passage").alias("reason"), F.lit("A question anew").alias("text"))
+    each = rows.select("query_id", span.alias("span"), F.explode(F.array(changed, decided, replaced)).alias("e")).where("e.kind IS NOT NULL")
+    at = F.lit("2030-01-01").cast("timestamp")
+    events = each.select("query_id", "e.*", "span", at.alias("at"), F.lit("reviewer").alias("by"), (F.col("query_id") + 1_000_000).alias("new_id"), F.lit("natural").alias("new_type"))
+    return R.apply(rows, events)
+
+
+def review_apply(spark, d):
+    return _reviewed(spark, d).select(
+        "query_id", "query_text", "query_type", "verified", F.size("gold_spans").alias("n_spans"), "require", "answer_passage", F.col("review.decision").alias("decision"), F.col("review.reason").alias("reason"),
+        F.array_join("review.changes", ",").alias("changes"), F.size("review_history").alias("earlier"), "original_query", "original_answer_passage", "replaces", "replaced_by",
+    )
+
+
+_REVIEW = """WITH q AS (SELECT DISTINCT ON (query_id) * FROM designed_slice_final WHERE query_id IS NOT NULL),
+r AS (SELECT query_id, CASE WHEN query_type = 'keyword' THEN query_text || ' (edited)' ELSE query_text END AS query_text, query_type, query_source, CASE WHEN query_type = 'exact_id' THEN false ELSE verified IS TRUE END AS verified,
+ (CASE query_type WHEN 'supersession' THEN 1 WHEN 'multi_hop' THEN coalesce(len(gold_spans), 0) + 1 ELSE coalesce(len(gold_spans), 0) END)::INTEGER AS n_spans,
+ CASE query_type WHEN 'supersession' THEN 'all' WHEN 'multi_hop' THEN 'any' ELSE require END AS require, CASE WHEN query_type = 'supersession' THEN 'passage' ELSE answer_passage END AS answer_passage,
+ CASE WHEN query_type <> 'exact_id' AND verified IS TRUE THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN query_type = 'exact_id' THEN 'replaced' WHEN verified IS TRUE THEN NULL ELSE 'unclear' END AS reason,
+ CASE query_type WHEN 'keyword' THEN 'edited_query' WHEN 'multi_hop' THEN 'added_span' WHEN 'supersession' THEN 'respanned' ELSE '' END AS changes, CASE WHEN query_type = 'exact_id' THEN 1 ELSE 0 END AS earlier,
+ CASE WHEN query_type = 'keyword' THEN query_text END AS original_query, CASE WHEN query_type = 'supersession' THEN answer_passage END AS original_answer_passage, NULL::INTEGER AS replaces, CASE WHEN query_type = 'exact_id' THEN query_id + 1000000 END AS replaced_by FROM q
+ UNION ALL SELECT query_id + 1000000, 'A question anew', 'natural', 'human_authored', true, 1, 'all', 'passage', 'accept', NULL, 'human_authored', 0, NULL, NULL, query_id, NULL FROM q WHERE query_type = 'exact_id')
+"""
+SQL["review_apply"] = _REVIEW + "SELECT * EXCLUDE (query_source) FROM r"
+
+
+def review_stats(spark, d):
+    return R.stats(_reviewed(spark, d))
+
+
+SQL["review_stats"] = _REVIEW + """SELECT measure, value, count(*) AS n FROM (SELECT 'progress' AS measure, 'reviewed' AS value FROM r UNION ALL SELECT 'decision', decision FROM r UNION ALL SELECT 'reason', reason FROM r WHERE decision = 'reject'
+ UNION ALL SELECT 'type', query_type FROM r WHERE decision = 'accept' UNION ALL SELECT 'source', coalesce(query_source, '?') FROM r WHERE decision = 'accept' UNION ALL SELECT 'change', changes FROM r WHERE decision = 'accept' AND changes <> '')
+WHERE value IS NOT NULL GROUP BY ALL"""
+
+
+def review_queue(spark, d):
+    """Gold queries from 1050 on that no review has decided, in order; of the log above those of type exact_id are taken as undecided."""
+    rows = _reviewed(spark, d).withColumn("review", F.expr("if(query_type = 'exact_id', NULL, review)"))
+    return R.queue(rows, 1050)
+
+
+SQL["review_queue"] = "SELECT row_number() OVER (ORDER BY query_id)::INTEGER AS place, query_id FROM (SELECT DISTINCT query_id FROM designed_slice_final WHERE query_type = 'exact_id' AND query_id >= 1050)"
+
+
+def review_listing(spark, d):
+    return R.listing(_reviewed(spark, d))
+
+
+SQL["review_listing"] = _REVIEW + "SELECT query_id, concat_ws(' ', decision, reason) AS status, query_type, substr(query_text, 1, 70) AS query FROM r"
+
+
+def _span_texts(spark: SparkSession, d: str, spans: DataFrame) -> DataFrame:
+    """(query_id, text) of spans (query_id, doc_id, span_start, span_end): as it stands in a chunk that holds the whole span."""
+    chunks = table(spark, d, "retrieve").where("content IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("char_start").alias("cs"), F.min("content").alias("content"))
+    here = D.spans_in_chunks(spans, chunks.withColumn("ce", F.col("cs") + F.length("content")), "doc_id", "cs", "ce")
+    return here.groupBy("query_id").agg(F.min(F.expr("substring(content, span_start - cs + 1, span_end - span_start)")).alias("text"))
+
+
+def respanned_fix(spark, d):
+    """Reviewed queries that were ever given a new span, with the passage put right."""
+    rows = written(_reviewed(spark, d), "reviewed")
+    spans = rows.where("size(gold_spans) > 0").select("query_id", F.col("gold_spans")[0].alias("s")).select("query_id", "s.*")
+    return R.respanned(rows, _span_texts(spark, d, spans)).where("fixed").select("query_id", "answer_passage", "original_answer_passage")
+
+
+SQL["respanned_fix"] = """WITH q AS (SELECT DISTINCT ON (query_id) query_id, answer_passage, gold_spans[1] AS s FROM designed_slice_final WHERE query_type = 'supersession'),
+c AS (SELECT id, min(doc_id) AS doc_id, min(char_start) AS cs, min(content) AS content FROM retrieve WHERE content IS NOT NULL GROUP BY id)
+SELECT query_id, min(substr(content, s.span_start - cs + 1, s.span_end - s.span_start)) AS answer_passage, coalesce(answer_passage, 'passage') AS original_answer_passage FROM q JOIN c ON c.doc_id = s.doc_id AND cs <= s.span_start AND s.span_end <= cs + length(content)
+GROUP BY query_id, answer_passage HAVING min(substr(content, s.span_start - cs + 1, s.span_end - s.span_start)) <> 'passage'"""
+
+
 def span_repair(spark, d):
     """Gold queries of one span whose passage isn't the text at that place of a chunk that holds the whole span: the text
     as it stands there, the passage kept beside it."""
@@ -370,8 +515,8 @@ SELECT query_id, min(substr(content, s.span_start - cs + 1, s.span_end - s.span_
 GROUP BY query_id, answer_passage HAVING min(substr(content, s.span_start - cs + 1, s.span_end - s.span_start)) IS DISTINCT FROM answer_passage"""
 
 QUERIES = [
-    corpus_identity, exact_duplicates, near_duplicates, corpus_verdict, citation_edges, known_edges, subject_families, unchecked_serials, undated, stale_warning, table_twins,
-    chunk_fixed_256, chunk_fixed_512, chunk_recursive_512, chunk_build, chunk_verify, chunk_stats, verify_citations, answer_decision, diagnose_citation, citation_causes,
+    corpus_identity, exact_duplicates, near_duplicates, near_duplicate_documents, corpus_verdict, citation_edges, known_edges, subject_families, family_members, unchecked_serials, undated, stale_warning, table_twins,
+    chunk_fixed_256, chunk_fixed_512, chunk_recursive_512, chunk_build, chunk_verify, chunk_stats, chunk_stats_fixed, verify_citations, answer_decision, diagnose_citation, citation_causes,
     answered_refused, refusal_reasons, groundedness, groundedness_by_type, refusal_quad, gate3_rejections, variance_flips, variance_sample, next_query_id, query_counts, ungrounded_list, gate_measured, threshold_verdicts,
-    goldset_integrity, span_repair,
+    goldset_integrity, gate_verdict, span_repair, review_apply, review_stats, review_queue, review_listing, respanned_fix,
 ]

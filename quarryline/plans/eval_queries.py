@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import GAP, ntok
+from quarryline.operators import answering, chunking, experiment, search
 from quarryline.operators import metrics as M
-from quarryline.operators import search
+from quarryline.operators.answering import TOP
+from quarryline.operators.answers import REFUSALS
 from quarryline.operators.runs import ranked
+from quarryline.shared import written
 from quarryline.sources.tables import table
 
 SQL: dict[str, str] = {}
 K, BUDGETS = 5, (1280, 2560)
 
-_RANKED = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY config, mode, query_id, rank_no, id ORDER BY loaded_at DESC) AS rn FROM retrieve),
+_RANKED = """WITH l AS (SELECT * REPLACE (coalesce(char_end, char_start + length(content)) AS char_end, CASE WHEN content IS NULL THEN coalesce(token_count, 0) ELSE greatest(1, round_even(length(content) / 4, 0)::INTEGER) END AS token_count),
+ row_number() OVER (PARTITION BY config, mode, query_id, rank_no, id ORDER BY loaded_at DESC) AS rn FROM retrieve),
 r0 AS (SELECT *, row_number() OVER (PARTITION BY config, mode, query_id ORDER BY rank_no, id) AS rank FROM l WHERE rn = 1),
 r AS (SELECT * FROM r0 WHERE rank <= 20)"""
 _OUT = (
@@ -30,7 +37,7 @@ q AS (SELECT config, mode, query_id, count(*) AS met, max(ar) AS last, min(ar) A
 o1 AS (SELECT n.config, n.mode, n.query_id, g.query_type, n.results::INTEGER AS results,
          (CASE WHEN require = 'any' THEN first WHEN len(spans) = 0 THEN 1 WHEN met = len(spans) THEN last END)::INTEGER AS rank
        FROM (SELECT config, mode, query_id, count(*) AS results FROM r GROUP BY ALL) n JOIN g USING (query_id) LEFT JOIN q ON q.config = n.config AND q.mode = n.mode AND q.query_id = n.query_id),
-o AS (SELECT o1.*, CASE WHEN o1.rank IS NOT NULL THEN (SELECT sum(coalesce(token_count, 0)) FROM r WHERE r.config = o1.config AND r.mode = o1.mode AND r.query_id = o1.query_id AND r.rank <= o1.rank) END::BIGINT AS budget FROM o1)
+o AS (SELECT o1.*, CASE WHEN o1.rank IS NOT NULL THEN (SELECT sum(token_count) FROM r WHERE r.config = o1.config AND r.mode = o1.mode AND r.query_id = o1.query_id AND r.rank <= o1.rank) END::BIGINT AS budget FROM o1)
 """
 )
 
@@ -108,19 +115,37 @@ def subgroup_pivot(spark, d):
 SQL["subgroup_pivot"] = _OUT + "SELECT mode, " + ", ".join(f"round(count(*) FILTER (rank <= {K} AND query_type = '{t}') / nullif(count(*) FILTER (query_type = '{t}'), 0), 6) AS {t}" for t in TYPES) + " FROM o GROUP BY mode"
 
 
-PAIRS = [("bm25", "hybrid"), ("dense", "hybrid"), ("hybrid", "hybrid+rerank"), ("bm25", "dense")]
+HEADLINE = "512-recursive"
+PAIRS = [((HEADLINE, a), (HEADLINE, b)) for a, b in (("bm25", "hybrid"), ("dense", "hybrid"), ("hybrid", "hybrid+rerank"))] + [
+    ((a, "hybrid+rerank"), (b, "hybrid+rerank")) for a, b in (("256-fixed", "512-fixed"), ("512-fixed", "512-recursive"))
+]
 
 
 def mcnemar(spark, d):
-    return M.mcnemar(_outcomes(spark, d), "mode", PAIRS, K)
+    """Five pairs: three of modes in one configuration, two of configurations in one mode. In these data a query has one configuration,
+    so the last two have no query in common; mcnemar_modes has pairs of modes over all configurations."""
+    return M.mcnemar(_outcomes(spark, d), ["config", "mode"], PAIRS, K)
+
+
+MODE_PAIRS = [("bm25", "hybrid"), ("dense", "hybrid"), ("hybrid", "hybrid+rerank"), ("bm25", "dense")]
+
 
+def mcnemar_modes(spark, d):
+    return M.mcnemar(_outcomes(spark, d), "mode", MODE_PAIRS, K)
 
-SQL["mcnemar"] = _OUT + """, h AS (SELECT mode, query_id, coalesce(rank <= 5, false) AS hit FROM o),
+
+def _mcnemar_sql(side: str, pairs: list[tuple[str, str]]) -> str:
+    values = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    return _OUT + f""", h AS (SELECT {side} AS side, query_id, coalesce(rank <= 5, false) AS hit FROM o), v(a, b) AS (VALUES {values}),
 c AS (SELECT v.a, v.b, count(*) FILTER (x.hit AND y.hit) AS both, count(*) FILTER (x.hit AND NOT y.hit) AS a_only, count(*) FILTER (NOT x.hit AND y.hit) AS b_only, count(*) FILTER (NOT x.hit AND NOT y.hit) AS neither
- FROM (VALUES ('bm25', 'hybrid'), ('dense', 'hybrid'), ('hybrid', 'hybrid+rerank'), ('bm25', 'dense')) v(a, b) LEFT JOIN h x ON x.mode = v.a LEFT JOIN h y ON y.mode = v.b AND y.query_id = x.query_id WHERE y.query_id IS NOT NULL GROUP BY ALL)
+ FROM v LEFT JOIN h x ON x.side = v.a LEFT JOIN h y ON y.side = v.b AND y.query_id = x.query_id GROUP BY ALL)
 SELECT *, round(least(1.0, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1), lambda i: exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2))))), 6) AS p FROM c"""
 
 
+SQL["mcnemar"] = _mcnemar_sql("config || ' / ' || mode", [(" / ".join(a), " / ".join(b)) for a, b in PAIRS])
+SQL["mcnemar_modes"] = _mcnemar_sql("mode", MODE_PAIRS)
+
+
 def bootstrap_ci(spark, d):
     counts = M.recall(_outcomes(spark, d), ["config", "mode"], K)
     return M.bootstrap_interval(counts, ["config", "mode"])
@@ -144,6 +169,78 @@ def ablation_table(spark, d):
 SQL["ablation_table"] = _OUT + "SELECT config, mode, count(*) AS n, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5, round(count(*) FILTER (rank <= 20) / count(*), 6) AS recall_20 FROM o GROUP BY ALL"
 
 
+def ablation_report(spark, d):
+    """The report's sections as rows (section, row, column, value, low, high): recall at 5, with its interval, and at 20; by query type in
+    the headline configuration; at token budgets; the paired tests' p."""
+    out = written(_outcomes(spark, d), "outcomes")
+    named = lambda df, section, row, column, value, low="NULL", high="NULL": df.selectExpr(f"'{section}' AS section", f"{row} AS row", f"{column} AS column", f"CAST({value} AS DOUBLE) AS value", f"CAST({low} AS DOUBLE) AS low", f"CAST({high} AS DOUBLE) AS high")
+    at5 = M.bootstrap_interval(M.recall(out, ["config", "mode"], 5), ["config", "mode"])
+    both = "concat(config, ' / ', mode)"
+    parts = [named(at5, "recall", both, "'5'", "round(hits / n, 6)", "low", "high"), named(M.recall(out, ["config", "mode"], 20), "recall", both, "'20'", "recall")]
+    parts.append(named(M.recall(out.where(F.col("config") == HEADLINE), ["mode", "query_type"], K), "by type", "mode", "query_type", "recall"))
+    for budget in BUDGETS:
+        parts.append(named(M.recall(out.where("mode = 'hybrid+rerank'"), ["config"], budget, "budget"), "budget", "config", f"'{budget}'", "recall"))
+    tests = M.mcnemar(out, ["config", "mode"], PAIRS, K)
+    parts += [named(tests, "paired", "concat(a, ' : ', b)", f"'{c}'", c) for c in ("a_only", "b_only", "p")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def produce_runs(spark, d):
+    """Runs of every gold question whose id is divisible by 20 against the chunks of all documents: three configurations, four modes."""
+    q = table(spark, d, "designed_slice_final").where("query_id % 20 = 0").select("query_id", "query_text").distinct()
+    chunks = chunking.build(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return experiment.produce(q, "query_id", "query_text", chunks, [c for c, *_ in chunking.CONFIGS]).drop("search_score")
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Verified questions answered from their hybrid lists by a scripted answerer, which by the question's type makes no call, gives what is
+    no JSON, finds the context too small, quotes one chunk rightly and one that isn't there, or quotes the first chunk in a code fence."""
+    q = table(spark, d, "designed_slice_final").where("verified AND query_id IS NOT NULL").select("query_id", "query_text", "query_type").distinct()
+    lists = ranked(table(spark, d, "retrieve").where("mode = 'hybrid'"), TOP, keep=["content"])
+
+    def scripted(_question, chunks):
+        first = F.get(chunks, F.lit(0))["content"]
+        cite = lambda label, text: F.struct(F.lit(label).alias("chunk_id"), text.alias("source_quote"))
+        call = lambda *cites: F.to_json(F.struct(F.lit(True).alias("sufficient_context"), F.lit("As quoted.").alias("answer"), F.array(*cites).alias("citations")))
+        kind = F.col("query_type")
+        return (
+            F.when(kind == "exact_id", F.lit(None).cast("string")).when(kind == "keyword", "It is as follows").when(kind == "multi_hop", '{"sufficient_context": false, "answer": ""}')
+            .when(kind == "supersession", call(cite("chunk_1", F.substring(first, 1, 80)), cite("chunk_9", F.lit("gone"))))
+            .otherwise(F.concat(F.lit("```json\n"), call(cite("chunk_1", F.substring(first, 11, 80))), F.lit("\n```")))
+        )
+
+    return answering.ask(q, lists, scripted, question="query_text")
+
+
+def answer_path(spark, d):
+    place = lambda c: F.get("citations", F.lit(0))[c]
+    return _answers(spark, d).select(
+        "query_id", "answered", "answer", "refusal_reason", F.size("citations").alias("good"), F.size("bad_citations").alias("bad"),
+        place("char_start").alias("quote_start"), place("char_end").alias("quote_end"), F.array_join("retrieved", ",").alias("retrieved"),
+    )
+
+
+_ANSWERS = _RANKED + f""", a0 AS (SELECT q.query_id, query_type, count(r.id) AS chunks, string_agg(doc_id, ',' ORDER BY rank) AS retrieved, any_value(content ORDER BY rank) FILTER (rank = 1) AS content, min(char_start) FILTER (rank = 1) AS cs, min(char_end) FILTER (rank = 1) AS ce
+ FROM (SELECT DISTINCT query_id, query_text, query_type FROM designed_slice_final WHERE verified AND length(query_text) BETWEEN 3 AND 500) q LEFT JOIN (SELECT * FROM r WHERE mode = 'hybrid' AND rank <= 5) r ON r.query_id = q.query_id GROUP BY ALL),
+a1 AS (SELECT *, CASE WHEN query_type = 'supersession' THEN substr(content, 1, 80) ELSE substr(content, 11, 80) END AS quote FROM a0),
+a2 AS (SELECT *, CASE WHEN chunks > 0 AND query_type NOT IN ('exact_id', 'keyword', 'multi_hop') THEN 1 ELSE 0 END AS calls, trim(regexp_replace(quote, '{GAP}+', ' ', 'g')) <> '' AS holds FROM a1),
+a3 AS (SELECT *, (calls * (holds IS TRUE)::INTEGER)::INTEGER AS good, (calls * ((holds IS NOT TRUE)::INTEGER + (query_type = 'supersession')::INTEGER))::INTEGER AS bad FROM a2),
+a4 AS (SELECT *, CASE WHEN chunks = 0 THEN '{REFUSALS[0]}' WHEN query_type = 'exact_id' THEN '{REFUSALS[1]}' WHEN query_type = 'keyword' THEN '{REFUSALS[2]}' WHEN query_type = 'multi_hop' THEN '{REFUSALS[3]}' WHEN good = 0 THEN '{REFUSALS[4]}' WHEN bad > 0 THEN '{REFUSALS[5]}' END AS reason FROM a3)
+"""
+SQL["answer_path"] = _ANSWERS + """SELECT query_id, reason IS NULL AS answered, CASE WHEN reason IS NULL THEN 'As quoted.' ELSE '' END AS answer, reason AS refusal_reason, good, bad,
+ CASE WHEN good > 0 THEN cs + instr(content, quote) - 1 END::INTEGER AS quote_start, CASE WHEN good > 0 THEN cs + instr(content, quote) - 1 + length(quote) END::INTEGER AS quote_end, coalesce(retrieved, '') AS retrieved FROM a4"""
+
+
+def answer_outcomes(spark, d):
+    """Answers beside whether retrieval satisfied their question at 5: the four cells; a question without an outcome counts as missed."""
+    found = _outcomes(spark, d).where("mode = 'hybrid'").select("query_id", M.hit(K).alias("hit"))
+    both = _answers(spark, d).join(found, "query_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return both.groupBy("hit", "answered").agg(F.count("*").alias("n"))
+
+
+SQL["answer_outcomes"] = _OUT + ", " + _ANSWERS.removeprefix(_RANKED).lstrip(", ") + "SELECT coalesce(o.rank <= 5, false) AS hit, reason IS NULL AS answered, count(*) AS n FROM a4 LEFT JOIN (SELECT * FROM o WHERE mode = 'hybrid') o USING (query_id) GROUP BY ALL"
+
+
 def hybrid_rrf(spark, d):
     """The keyword and the vector list of each query fused."""
     lists = _lists(spark, d).where("mode IN ('bm25', 'dense')")
@@ -181,23 +278,51 @@ SELECT round(nx / n, 6) AS recall_before, round(ny / n, 6) AS recall_after, lost
 )
 
 
-def truncation_stats(spark, d):
-    """Lengths of question and chunk together, in tokens of four characters, against a reranker's limit of 512."""
-    from quarryline.functions.text import ntok
+def rerank_by_type(spark, d):
+    """Recall of the reranked lists before and after, by query type."""
+    g = M.gold(table(spark, d, "designed_slice_final"))
+    lists = _lists(spark, d).where("mode = 'hybrid+rerank'")
+    after = search.rerank(lists, ["config", "query_id"], "rerank_score", "rank").withColumns({"rank": F.col("new_rank"), "mode": F.lit("after")}).drop("new_rank")
+    out = M.outcomes(lists.withColumn("mode", F.lit("before")).unionByName(after), g)
+    share = lambda side: F.round(F.coalesce(F.count_if((F.col("mode") == side) & M.hit(K)) / F.nullif(F.count_if(F.col("mode") == side), F.lit(0)), F.lit(0.0)), 6)
+    return out.groupBy("query_type").agg(F.count_if(F.col("mode") == "before").alias("n"), share("before").alias("before"), share("after").alias("after"))
+
 
+SQL["rerank_by_type"] = SQL["rerank_compare"].split(", w AS (")[0] + "SELECT query_type, count(*) FILTER (mode = 'before') AS n, round(coalesce(count(*) FILTER (mode = 'before' AND rank <= 5) / nullif(count(*) FILTER (mode = 'before'), 0), 0), 6) AS before, round(coalesce(count(*) FILTER (mode = 'after' AND rank <= 5) / nullif(count(*) FILTER (mode = 'after'), 0), 0), 6) AS after FROM o GROUP BY query_type"
+
+
+def _pair_lengths(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "designed_slice_final").where("verified").select("query_id", "query_text").distinct()
     lists = ranked(table(spark, d, "retrieve").where("mode = 'hybrid+rerank' AND content IS NOT NULL"), keep=["content"])
-    pairs = lists.join(q, "query_id").select("query_id", "rank", (ntok(F.col("query_text")) + ntok(F.col("content"))).alias("n"))
+    return lists.join(q, "query_id").select("query_id", "rank", (ntok(F.col("query_text")) + ntok(F.col("content"))).alias("n"))
+
+
+def truncation_histogram(spark, d):
+    """Questions by the number of their first five pairs that exceed the limit."""
+    own = _pair_lengths(spark, d).groupBy("query_id").agg(F.count_if((F.col("n") > 512) & (F.col("rank") <= K)).alias("truncated"))
+    return own.groupBy("truncated").agg(F.count("*").alias("queries"))
+
+
+def truncation_stats(spark, d):
+    """Lengths of question and chunk together, in tokens of four characters, against a reranker's limit of 512: how many pairs exceed it, their
+    share in per cent, and the median and the greatest number of tokens that they lose."""
+    pairs = written(_pair_lengths(spark, d), "pairs")
     sums = pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("n") > 512).alias("over"), F.max("n").alias("longest"), F.countDistinct(F.when((F.col("n") > 512) & (F.col("rank") <= K), F.col("query_id"))).alias("queries"))
     points = M.floor_quantiles(pairs.withColumn("all", F.lit(1)), ["all"], "n", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).select("p50", "p90", "p99")
+    lost = M.floor_quantiles(pairs.where("n > 512").select(F.lit(1).alias("all"), (F.col("n") - 512).alias("lost")), ["all"], "lost", {"lost_median": 0.5, "lost_worst": 1.0}).select("lost_median", "lost_worst")
     reading = F.when(100 * F.col("over") / F.col("pairs") < 2, "none").when(100 * F.col("over") / F.col("pairs") < 15, "partial").otherwise("mechanical")
-    return sums.crossJoin(points).withColumn("reading", reading)
+    # One row each; where no pair exceeds the limit, nothing is lost.
+    both = sums.crossJoin(points).join(lost, F.lit(True), "left")
+    return both.withColumns({"share": F.round(100 * F.col("over") / F.col("pairs"), 6), "reading": reading})
 
 
+SQL["truncation_histogram"] = _RANKED + """, q AS (SELECT DISTINCT query_id, query_text FROM designed_slice_final WHERE verified),
+p AS (SELECT query_id, rank, greatest(1, round_even(length(query_text) / 4, 0)::INT) + greatest(1, round_even(length(content) / 4, 0)::INT) AS n FROM r JOIN q USING (query_id) WHERE mode = 'hybrid+rerank' AND content IS NOT NULL)
+SELECT truncated, count(*) AS queries FROM (SELECT query_id, count(*) FILTER (n > 512 AND rank <= 5) AS truncated FROM p GROUP BY query_id) GROUP BY truncated"""
 SQL["truncation_stats"] = _RANKED + """, q AS (SELECT DISTINCT query_id, query_text FROM designed_slice_final WHERE verified),
 p AS (SELECT query_id, rank, greatest(1, round_even(length(query_text) / 4, 0)::INT) + greatest(1, round_even(length(content) / 4, 0)::INT) AS n FROM r JOIN q USING (query_id) WHERE mode = 'hybrid+rerank' AND content IS NOT NULL),
-s AS (SELECT count(*) AS pairs, count(*) FILTER (n > 512) AS over, max(n) AS longest, count(DISTINCT query_id) FILTER (n > 512 AND rank <= 5) AS queries, list_sort(list(n)) AS l FROM p)
-SELECT pairs, over, longest, queries, l[least(pairs, floor(0.5 * pairs)::BIGINT + 1)] AS p50, l[least(pairs, floor(0.9 * pairs)::BIGINT + 1)] AS p90, l[least(pairs, floor(0.99 * pairs)::BIGINT + 1)] AS p99,
+s AS (SELECT count(*) AS pairs, count(*) FILTER (n > 512) AS over, max(n) AS longest, count(DISTINCT query_id) FILTER (n > 512 AND rank <= 5) AS queries, list_sort(list(n)) AS l, list_sort(list(n) FILTER (n > 512)) AS x FROM p)
+SELECT x[floor(0.5 * over)::BIGINT + 1] - 512 AS lost_median, x[over] - 512 AS lost_worst, round(100 * over / pairs, 6) AS share, pairs, over, longest, queries, l[least(pairs, floor(0.5 * pairs)::BIGINT + 1)] AS p50, l[least(pairs, floor(0.9 * pairs)::BIGINT + 1)] AS p90, l[least(pairs, floor(0.99 * pairs)::BIGINT + 1)] AS p99,
  CASE WHEN 100 * over / pairs < 2 THEN 'none' WHEN 100 * over / pairs < 15 THEN 'partial' ELSE 'mechanical' END AS reading FROM s"""
 
 
@@ -279,6 +404,6 @@ s AS (SELECT query_id, vec_id, round(list_cosine_similarity(x, y), 6) AS score F
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 20"""
 
 QUERIES = [
-    load_runs, load_gold, satisfied_at_rank, satisfied_at_budget, recall_at_k, recall_at_budget, recall_by_subgroup, subgroup_pivot, mcnemar, bootstrap_ci, missed_by_all,
-    ablation_table, hybrid_rrf, rerank, rerank_compare, truncation_stats, score_quantiles, threshold_sweep, latency_percentiles, event_percentiles, bm25_topk, dense_topk,
+    load_runs, load_gold, satisfied_at_rank, satisfied_at_budget, recall_at_k, recall_at_budget, recall_by_subgroup, subgroup_pivot, mcnemar, mcnemar_modes, bootstrap_ci, missed_by_all,
+    ablation_table, ablation_report, produce_runs, answer_path, answer_outcomes, hybrid_rrf, rerank, rerank_compare, rerank_by_type, truncation_stats, truncation_histogram, score_quantiles, threshold_sweep, latency_percentiles, event_percentiles, bm25_topk, dense_topk,
 ]

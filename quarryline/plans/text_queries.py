@@ -107,13 +107,17 @@ SQL["own_serial"] = """SELECT doc_id, CASE WHEN list_contains(regexp_extract_all
 
 
 def exact_id_query(spark, d):
-    """Each gold query as an exact-id question about the circular of its first span."""
+    """Each gold query as an exact-id question about the circular of its first span; null where no document of the circular names its
+    own serial."""
     g = table(spark, d, "designed_slice_final").where("size(gold_spans) > 0").select("query_id", "query_text", F.col("gold_spans")[0]["doc_id"].alias("doc")).distinct()
-    return g.select("query_id", T.exact_id_question(F.col("doc"), T.doc_serial(F.col("doc")), F.col("query_text")).alias("question"))
+    own = _docs(spark, d).select(F.col("circular_id").alias("doc"), T.own_serial(F.col("circular_id"), F.col("text")).alias("serial"))
+    named = own.where("doc IS NOT NULL AND serial IS NOT NULL").distinct()
+    return g.join(named, "doc", "left").select("query_id", T.exact_id_question(F.col("doc"), F.col("serial"), F.col("query_text")).alias("question"))
 
 
-SQL["exact_id_query"] = f"""SELECT DISTINCT query_id, regexp_replace(gold_spans[1].doc_id, '-.*$', '') || ' circular ' || regexp_replace(gold_spans[1].doc_id, '^.*-', '') || ' ' ||
- regexp_replace(regexp_replace(query_text, '{T.QUESTION_OPENING}', ''), '\\?+$', '') AS question FROM designed_slice_final WHERE len(gold_spans) > 0"""
+SQL["exact_id_query"] = f"""WITH n AS (SELECT DISTINCT circular_id AS doc FROM documents WHERE list_contains(regexp_extract_all(substr(text, 1, 3000), '[0-9]+'), regexp_replace(circular_id, '^.*-', '')))
+SELECT DISTINCT query_id, CASE WHEN n.doc IS NOT NULL THEN regexp_replace(gold_spans[1].doc_id, '-.*$', '') || ' circular ' || regexp_replace(gold_spans[1].doc_id, '^.*-', '') || ' ' ||
+ regexp_replace(regexp_replace(query_text, '{T.QUESTION_OPENING}', ''), '\\?+$', '') END AS question FROM designed_slice_final LEFT JOIN n ON n.doc = gold_spans[1].doc_id WHERE len(gold_spans) > 0"""
 
 
 def strip_fences(spark, d):
@@ -127,11 +131,11 @@ SQL["strip_fences"] = "SELECT DISTINCT citation_id, answered FROM api"
 
 
 def canon_tokens(spark, d):
-    return D.lines(_docs(spark, d), "doc_id", "text").where("instr(line, '|') > 0 OR instr(line, ';') > 0").select("doc_id", "line_no", T.canon_tokens(F.col("line")).alias("tokens"))
+    return D.lines(_docs(spark, d), "doc_id", "text").select("doc_id", "line_no", T.canon_tokens(F.col("line")).alias("tokens"))
 
 
 SQL["canon_tokens"] = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
-s AS (SELECT *, regexp_replace(line, '^{G}+|{G}+$', '', 'g') AS st FROM l WHERE contains(line, '|') OR contains(line, ';'))
+s AS (SELECT *, regexp_replace(line, '^{G}+|{G}+$', '', 'g') AS st FROM l)
 SELECT doc_id, line_no::INTEGER AS line_no, list_transform(regexp_extract_all(CASE WHEN contains(line, ';') AND regexp_matches(st, '{T.LABELLED}')
  THEN array_to_string(list_transform(string_split(st, ';'), lambda c: regexp_replace(c, '^(?s:.*?): ', '')), ' ') ELSE line END, '{T.TOKEN}'), lambda t: lower(t)) AS tokens FROM s"""
 
@@ -156,18 +160,36 @@ def table_rows_labelled(spark, d):
 SQL["table_rows_labelled"] = """SELECT n_nationkey, '  nation: ' || n_name || '; region: ' || r_name || CASE WHEN n_nationkey % 2 = 0 THEN '; note: even' ELSE '' END AS labelled FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
 
+def _span_passages(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, span_no, id, content, cs, passage): each gold span in each chunk that holds the whole of it, with its text there. The passages
+    that the queries bring are of another build and stand in no chunk."""
+    gold = table(spark, d, "designed_slice_final").select("query_id", F.posexplode("gold_spans").alias("span_no", "s")).select("query_id", "span_no", "s.*").distinct()
+    chunks = table(spark, d, "retrieve").where("content IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("char_start").alias("cs"), F.min("content").alias("content"))
+    here = D.spans_in_chunks(gold.where("span_start < span_end"), chunks.withColumn("ce", F.col("cs") + F.length("content")), "doc_id", "cs", "ce")
+    return here.withColumn("passage", F.expr("substring(content, span_start - cs + 1, span_end - span_start)")).drop("span_start", "span_end", "doc_id", "ce")
+
+
 def locate_passage(spark, d):
-    """Gold passages in the retrieved chunks of their circulars: where a passage stands in a chunk's text."""
-    gold = table(spark, d, "designed_slice_final").where("trim(answer_passage) <> ''").select("query_id", "answer_passage", F.explode("gold_spans.doc_id").alias("doc_id")).distinct()
-    chunks = table(spark, d, "retrieve").where("content IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("content").alias("content"))
-    quote = F.regexp_replace("answer_passage", r" \[[0-9]+\]$", "")
-    pairs = gold.withColumn("passage", quote).join(chunks, "doc_id")
-    return D.locate_passages(pairs, "content", "passage").where("span_start IS NOT NULL").select("query_id", "id", "span_start", "span_end").distinct()
+    """Where the text of each gold span stands first in each chunk that holds it."""
+    return D.locate_passages(_span_passages(spark, d), "content", "passage").select("query_id", "span_no", "id", "span_start", "span_end")
+
+
+_SPAN_TEXTS = """WITH g AS (SELECT DISTINCT query_id, (i - 1)::INTEGER AS span_no, gold_spans[i] AS s FROM (SELECT *, unnest(range(1, len(gold_spans) + 1)) AS i FROM designed_slice_final)),
+c AS (SELECT id, min(doc_id) AS doc_id, min(char_start) AS cs, min(content) AS content FROM retrieve WHERE content IS NOT NULL GROUP BY id),
+h AS (SELECT query_id, span_no, id, cs, content, substr(content, s.span_start - cs + 1, s.span_end - s.span_start) AS passage FROM g JOIN c ON c.doc_id = s.doc_id AND cs <= s.span_start AND s.span_end <= cs + length(content) AND s.span_start < s.span_end AND s.span_start >= 0)
+"""
+SQL["locate_passage"] = _SPAN_TEXTS + "SELECT query_id, span_no, id, (instr(content, passage) - 1)::INTEGER AS span_start, (instr(content, passage) - 1 + length(passage))::INTEGER AS span_end FROM h"
+
+
+def locate_reflowed(spark, d):
+    """The same with the passages' white space written as single spaces: found across line ends as well."""
+    rows = _span_passages(spark, d).withColumn("passage", T.collapse(F.col("passage")))
+    return D.locate_passages(rows, "content", "passage").select("query_id", "span_no", "id", "span_start", "span_end")
 
 
 def citation_quotes(spark, d):
-    """The place of each quote in the content of the chunk that it cites, white space aside."""
-    quotes = table(spark, d, "api").where("trim(source_quote) <> ''").select("citation_id", "chunk_id", F.regexp_replace("source_quote", r" \[[0-9]+\]$", "").alias("quote")).distinct()
+    """The place of each quote, as an earlier build of the chunks had it, in the content of the chunk that it cites, white space aside."""
+    quotes = table(spark, d, "api").where("trim(source_quote) <> ''").select("citation_id", "chunk_id", F.col("source_quote").alias("quote")).distinct()
     chunks = table(spark, d, "retrieve").where("content IS NOT NULL").groupBy(F.col("id").alias("chunk_id")).agg(F.min("content").alias("content"))
     return D.locate_passages(quotes.join(chunks, "chunk_id"), "content", "quote").select("citation_id", "span_start", "span_end")
 
@@ -196,11 +218,18 @@ SELECT query_id, doc_id, CASE WHEN a = n THEN 'keyword' ELSE 'natural' END AS ki
 
 
 def context_window(spark, d):
-    """Each quote with 40 code points on either side in the chunk that holds it, white space collapsed."""
-    q = citation_quotes(spark, d).where("span_start IS NOT NULL")
-    c = table(spark, d, "api").select("citation_id", "chunk_id").distinct()
-    chunks = table(spark, d, "retrieve").where("content IS NOT NULL").groupBy(F.col("id").alias("chunk_id")).agg(F.min("content").alias("content"))
-    return q.join(c, "citation_id").join(chunks, "chunk_id").select("citation_id", T.context(F.col("content"), F.col("span_start"), F.col("span_end"), 40).alias("context"))
+    """Each gold span with 110 and with 300 code points on either side in each chunk that holds it, white space collapsed."""
+    rows = D.locate_passages(_span_passages(spark, d), "content", "passage")
+    around = lambda n: T.context(F.col("content"), F.col("span_start"), F.col("span_end"), n)
+    return rows.select("query_id", "span_no", "id", around(110).alias("near"), around(300).alias("wide"))
+
+
+def _around(n: int) -> str:
+    at, end = "(instr(content, passage) - 1)", "(instr(content, passage) - 1 + length(passage))"
+    return f"regexp_replace(substr(content, greatest(0, {at} - {n}) + 1, {end} + {n} - greatest(0, {at} - {n})), '{G}+', ' ', 'g')"
+
+
+SQL["context_window"] = _SPAN_TEXTS + f"SELECT query_id, span_no, id, {_around(110)} AS near, {_around(300)} AS wide FROM h"
 
 
 def prompt_context(spark, d):
@@ -218,5 +247,5 @@ SELECT query_id, string_agg('[chunk_' || rank || '] (circular ' || doc_id || ')'
 
 QUERIES = [
     clean_lines, collapse_blank_lines, doc_quality, norm_text, fold_text, doc_date, doc_subject, doc_header, shingles, own_serial, exact_id_query, strip_fences,
-    canon_tokens, lines_with_offsets, table_rows_labelled, locate_passage, citation_quotes, header_spans, question_types, context_window, prompt_context,
+    canon_tokens, lines_with_offsets, table_rows_labelled, locate_passage, locate_reflowed, citation_quotes, header_spans, question_types, context_window, prompt_context,
 ]

@@ -54,7 +54,7 @@ def test_lines_and_labels(spark):
 def test_citations_are_whole_runs_of_digits(spark):
     docs = spark.createDataFrame([(1, "A-1", "see 127650 and no. 2765x"), (2, "A-2", "127650"), (3, "B-2765", "2765"), (4, "A-3", None)], "doc_id int, circular_id string, text string")
     serials = spark.createDataFrame([("B-2765", "2765"), ("C-122", "122")], "circular_id string, serial string")
-    assert [tuple(r) for r in D.citation_edges(docs, "doc_id", "circular_id", "text", serials).collect()] == [(1, "A-1", "B-2765", 19)]
+    assert [tuple(r) for r in D.citation_edges(docs, "doc_id", "circular_id", "text", serials).collect()] == [(1, "A-1", "B-2765", 19, "see 127650 and no. 2765x")]
 
 
 def test_duplicates_and_families(spark):
@@ -67,6 +67,15 @@ def test_duplicates_and_families(spark):
     assert [tuple(r) for r in D.subject_families(fam, "id", "subject", "on").collect()] == [("s", 2, "b")]
 
 
+def test_members_and_edges_in_order(spark):
+    day = datetime.date
+    rows = [("a", "s", day(2030, 1, 2)), ("b", "s", None), ("c", "s", day(2030, 1, 1)), ("c", "s", day(2030, 1, 1)), ("d", "s", None), ("e", "t", None), ("f", None, None)]
+    fam = spark.createDataFrame(rows, "id string, subject string, on date").repartition(3)
+    assert [tuple(r)[:3] for r in D.family_members(fam, "id", "subject", "on").orderBy("member_no").collect()] == [("s", 1, "b"), ("s", 2, "d"), ("s", 3, "c"), ("s", 4, "a")]
+    assert [r["id"] for r in D.in_date_order(fam.distinct(), "on", ["id"]).orderBy("place").collect()] == ["b", "d", "e", "f", "c", "a"]
+    assert D.family_members(fam.limit(0), "id", "subject", "on").count() == 0
+
+
 def test_locate_passages(spark):
     rows = [("😀 the pool\n of x.y", "the pool"), ("😀 the pool\n of x.y", " pool of x.y "), ("a  b", "a b"), ("abc", "abd"), ("abc", " "), ("abc", None), (r"a\Eb  c", r"a\Eb c")]
     got = D.locate_passages(spark.createDataFrame(rows, "t string, p string"), "t", "p").collect()

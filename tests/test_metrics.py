@@ -77,6 +77,12 @@ def test_mcnemar_counts(spark):
     assert (r["both"], r["a_only"], r["b_only"], r["neither"]) == (0, 1, 2, 0)
 
 
+def test_mcnemar_of_several_columns(spark):
+    rows = [("c", "a", 1, 1), ("c", "b", 1, None), ("x", "a", 2, 1)]
+    out = M.mcnemar(spark.createDataFrame(rows, "config string, mode string, query_id int, rank int"), ["config", "mode"], [(("c", "a"), ("c", "b")), (("c", "a"), ("x", "a"))], 5)
+    assert {(r["a"], r["b"]): (r["a_only"], r["b_only"], r["neither"], r["p"]) for r in out.collect()} == {("c / a", "c / b"): (1, 0, 0, 1.0), ("c / a", "x / a"): (0, 0, 0, 1.0)}
+
+
 def test_floor_quantile_rule(spark):
     df = spark.createDataFrame([("x", v) for v in (4.0, 1.0, 3.0, 2.0)] + [("y", None), ("y", 5.0)], "g string, v double")
     got = {r["g"]: (r["n"], r["m"], r["top"]) for r in M.floor_quantiles(df, ["g"], "v", {"m": 0.5, "top": 1.0}).collect()}

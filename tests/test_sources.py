@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from quarryline.sources import files
 from quarryline.sources import files as S
 from quarryline.streaming import chunks as ST
 
@@ -48,3 +49,63 @@ def test_stream_cuts_each_document_once(spark, tmp_path):
     for _ in range(2):
         ST.chunk_stream(ST.read_document_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_documents_logs_and_reports(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    assert files.read_document(spark, f"{at}/none.json", "a int").count() == 0
+    (tmp_path / "one.json").write_text('{\n "a": 1,\n "b": ["é"]\n}', encoding="utf-8")
+    assert files.read_document(spark, f"{at}/one.json", "a int, b array<string>").first()["b"] == ["é"]
+    edges, short = spark.createDataFrame([("x", None)], "a string, b date"), spark.createDataFrame([], "doc string")
+    files.write_document(spark, f"{at}/doc", citations=edges, short=short)
+    back = files.read_document_folder(spark, f"{at}/doc")
+    assert set(back) == {"citations", "short"} and back["citations"].collect() == edges.collect() and back["short"].count() == 0
+    assert files.read_document_folder(spark, f"{at}/nowhere") == {}
+    files.write_log(spark.createDataFrame([("b ok",), ("a short",)], "line string"), "line", f"{at}/log", "2030-01-01")
+    lines = [x for p in sorted((tmp_path / "log").glob("part*")) for x in p.read_text().splitlines()]
+    assert lines == ["# run 2030-01-01", "# 2 rows", "", "a short", "b ok"]
+    many = spark.range(5).selectExpr("id", "if(id = 0, 'a|b', NULL) AS t")
+    text = files.write_report(spark, f"{at}/report.md", "Title", {"Some": many, "None": many.limit(0)}, most=3)
+    assert (tmp_path / "report.md").read_text() == text and "2 more rows." in text and "a\\|b" in text and "| - |" in text and text.count("None.") == 1
+
+
+def test_index_with_vectors(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators.experiment import hashed_words
+
+    at = f"file://{tmp_path}"
+    chunks = spark.createDataFrame([("a", "d", "one two", 0, 7), ("b", "d", "", 7, 7)], "id string, doc_id string, content string, char_start int, char_end int")
+    files.write_index(chunks, f"{at}/index", hashed_words(16), 16)
+    assert {r["id"]: len(r["vector"]) for r in spark.read.parquet(f"{at}/index/vectors").collect()} == {"a": 16, "b": 16}
+    with pytest.raises(ValueError, match="dimensions"):
+        files.write_index(chunks, f"{at}/other", hashed_words(16), 1536)
+    with pytest.raises(ValueError, match="dimensions"):
+        files.write_index(chunks, f"{at}/third", lambda c: F.when(c != "", F.array(F.lit(1.0))))
+    with pytest.raises(ValueError, match="twice"):
+        files.write_index(chunks.union(chunks), f"{at}/fourth")
+
+
+def test_failed_swap_keeps_the_table(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/t"
+    spark.range(3).write.parquet(at)
+    real, calls = files.move, []
+
+    def second_fails(s, a, b):
+        calls.append(a)
+        return False if len(calls) == 2 else real(s, a, b)
+
+    monkeypatch.setattr(files, "move", second_fails)
+    with pytest.raises(OSError):
+        files.replace_table(spark.range(9), at)
+    assert spark.read.parquet(at).count() == 3
+
+
+def test_scratch_is_removed(spark):
+    from quarryline import shared
+
+    with shared.scratch(spark):
+        df = shared.written(spark.range(3), "x")
+        path = df.inputFiles()[0]
+        assert df.count() == 3
+    assert not shared.exists(spark, path)
