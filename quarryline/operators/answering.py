@@ -81,3 +81,22 @@ def ask(questions: DataFrame, lists: DataFrame, answerer: Callable[[Column, Colu
     """answers() of questions of 3 to 500 characters; others, and null ones, are left out, as a service would turn them away."""
     fit = questions.where(F.length(question).between(3, 500))
     return answers(with_chunks(fit, lists, key, top), answerer, question)
+
+
+def judged(answered: DataFrame, judge: Callable[[Column, Column], Column], question: str = "question") -> DataFrame:
+    """answers() with verdict (grounded, unsupported_claim) of the answered ones: what a judge that is handed in, a function of question and
+    answer, says as JSON; null where it says nothing or no JSON, so an answer without a verdict counts as neither."""
+    said = F.when(F.col("answered"), strip_fences(judge(F.col(question), F.col("answer"))))
+    verdict = F.when(F.get_json_object(said, "$").isNotNull(), F.from_json(said, "struct<grounded: boolean, unsupported_claim: string>"))
+    return answered.withColumn("verdict", verdict)
+
+
+def examples(answered: DataFrame, key: str = "query_id") -> DataFrame:
+    """(outcome, key): for a report one case of every outcome, an answer or a kind of refusal: the least key."""
+    return answered.groupBy(F.coalesce("refusal_reason", F.lit("answered")).alias("outcome")).agg(F.min(key).alias(key))
+
+
+def health(settings: dict[str, str | None], needed: list[str]) -> dict:
+    """Whether all settings that an answerer needs are there; their values are not shown."""
+    missing = [n for n in needed if not settings.get(n)]
+    return {"status": "misconfigured" if missing else "ok", "missing": missing}

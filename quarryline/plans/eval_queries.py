@@ -241,6 +241,34 @@ def answer_outcomes(spark, d):
 SQL["answer_outcomes"] = _OUT + ", " + _ANSWERS.removeprefix(_RANKED).lstrip(", ") + "SELECT coalesce(o.rank <= 5, false) AS hit, reason IS NULL AS answered, count(*) AS n FROM a4 LEFT JOIN (SELECT * FROM o WHERE mode = 'hybrid') o USING (query_id) GROUP BY ALL"
 
 
+def judge_verdicts(spark, d):
+    """The answers by the verdict of a scripted judge: grounded for natural questions, no JSON for others."""
+    judge = lambda q, a: F.when(F.col("query_type") == "natural", '{"grounded": true}').otherwise("I can't say")
+    out = answering.judged(_answers(spark, d), judge, "query_text")
+    return out.groupBy("query_type", F.col("verdict.grounded").alias("grounded")).agg(F.count("*").alias("n"))
+
+
+SQL["judge_verdicts"] = _ANSWERS + "SELECT query_type, CASE WHEN reason IS NULL AND query_type = 'natural' THEN true END AS grounded, count(*) AS n FROM a4 GROUP BY ALL"
+
+
+def worked_examples(spark, d):
+    """One question for every outcome."""
+    return answering.examples(_answers(spark, d))
+
+
+SQL["worked_examples"] = _ANSWERS + "SELECT coalesce(reason, 'answered') AS outcome, min(query_id) AS query_id FROM a4 GROUP BY ALL"
+
+
+def demo(spark, d):
+    """The first three results of each mode for the first question of each configuration: a look at the lists."""
+    lists = _lists(spark, d)
+    first = lists.groupBy("config").agg(F.min("query_id").alias("query_id"))
+    return lists.join(first, ["config", "query_id"]).where("rank <= 3").select("config", "mode", "query_id", "rank", "id", "doc_id")
+
+
+SQL["demo"] = _RANKED + "SELECT config, mode, query_id, rank, id, doc_id FROM r SEMI JOIN (SELECT config, min(query_id) AS query_id FROM r GROUP BY config) f USING (config, query_id) WHERE rank <= 3"
+
+
 def hybrid_rrf(spark, d):
     """The keyword and the vector list of each query fused."""
     lists = _lists(spark, d).where("mode IN ('bm25', 'dense')")
@@ -405,5 +433,5 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 QUERIES = [
     load_runs, load_gold, satisfied_at_rank, satisfied_at_budget, recall_at_k, recall_at_budget, recall_by_subgroup, subgroup_pivot, mcnemar, mcnemar_modes, bootstrap_ci, missed_by_all,
-    ablation_table, ablation_report, produce_runs, answer_path, answer_outcomes, hybrid_rrf, rerank, rerank_compare, rerank_by_type, truncation_stats, truncation_histogram, score_quantiles, threshold_sweep, latency_percentiles, event_percentiles, bm25_topk, dense_topk,
+    ablation_table, ablation_report, produce_runs, answer_path, answer_outcomes, judge_verdicts, worked_examples, demo, hybrid_rrf, rerank, rerank_compare, rerank_by_type, truncation_stats, truncation_histogram, score_quantiles, threshold_sweep, latency_percentiles, event_percentiles, bm25_topk, dense_topk,
 ]

@@ -39,6 +39,16 @@ def test_all_refusals_in_their_order(spark):
     assert got[7]["answer"] == "" and got[8]["retrieved"] == [] and not got[2]["citations"]
 
 
+def test_judge_and_examples(spark):
+    rows = [(1, "q", True, "a", None), (2, "q", True, "b", None), (3, "q", True, "c", None), (4, "q", False, "", A.NOTHING), (5, "q", True, "d", None)]
+    df = spark.createDataFrame(rows, "query_id int, question string, answered boolean, answer string, refusal_reason string")
+    says = F.when(F.col("answer") == "a", '{"grounded": true}').when(F.col("answer") == "b", '```json\n{"grounded": false, "unsupported_claim": "x"}\n```').when(F.col("answer") == "c", "no json")
+    got = {r["query_id"]: r["verdict"] for r in N.judged(df, lambda q, a: says).collect()}
+    assert got[1]["grounded"] is True and (got[2]["grounded"], got[2]["unsupported_claim"]) == (False, "x") and got[3] is got[4] is got[5] is None
+    assert {tuple(r) for r in N.examples(df).collect()} == {("answered", 1), (A.NOTHING, 4)}
+    assert N.health({"a": "1", "b": ""}, ["a", "b"]) == {"status": "misconfigured", "missing": ["b"]}
+
+
 def test_no_questions(spark):
     none = spark.createDataFrame([], "query_id int, question string")
     assert N.ask(none, spark.createDataFrame([], LIST), lambda q, c: F.lit("x")).count() == 0
