@@ -214,9 +214,8 @@ class Encoder:
         size = end - start
         twin = first[which]
         unlike = size != size[twin]
-        offset = np.cumsum(size) - size
-        at = np.arange(len(cp)) - np.repeat(offset, size)
-        away = np.flatnonzero(cp != cp[np.minimum(np.repeat(start[twin], size) + at, len(cp) - 1)])
+        other = np.arange(len(cp)) + np.repeat(start[twin] - start, size)
+        away = np.flatnonzero(cp != cp[np.minimum(other, len(cp) - 1, out=other)])
         unlike[np.searchsorted(start, away, "right") - 1] = True
         if unlike.any():
             strange = np.flatnonzero(unlike)
