@@ -80,8 +80,9 @@ GAP = re.compile(r"[\s﻿]*")
 CELL = re.compile(r"(?:^|\s)\|(?:\s|$)|\S\t+\S")
 WORD = re.compile(r"[^\W\d_]+")
 INITIAL = re.compile(r"[^\W\d_]\.")
-REFERENCE = re.compile(r"\S*[\d/]")
-CODE = re.compile(r"[(\[]?(?:\S*\d|[A-Z]{2,}[/-]|Nos?\b|[IVXLCDM]{2,}\b|[A-Za-z]\b)")
+#: A number or code, of 64 characters at most up to its first digit.
+REFERENCE = re.compile(r"\S{0,63}[\d/]")
+CODE = re.compile(r"[(\[]?(?:\S{0,63}\d|[A-Z]{2,}[/-]|Nos?\b|[IVXLCDM]{2,}\b|[A-Za-z]\b)")
 ORDINAL = re.compile(r"\d{1,2}$")
 DOTTED = re.compile(r"[^\W\d_]\.[^\W\d_]$")
 
@@ -121,8 +122,9 @@ _SPACED = 6
 
 
 def _votes(text: str) -> Counter:
-    words = text.lower().split()
-    return Counter({x: sum(map(own.__contains__, words)) for x, own in _FUNCTION.items()})
+    """How many of each language's function words the text holds."""
+    words = set(text.lower().split())
+    return Counter({x: len(own & words) for x, own in _FUNCTION.items()})
 
 
 def _most(votes: Counter) -> str | None:
@@ -176,6 +178,8 @@ class Levels:
 
 def _is_table(block: str) -> bool:
     """Whether at least half of the lines have cells, parted by bars that stand free or by tabs."""
+    if "|" not in block and "\t" not in block:
+        return False
     lines = block.split("\n")
     return sum(CELL.search(x.strip()) is not None for x in lines) * 2 >= len(lines)
 
