@@ -27,13 +27,12 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     t, step = float(threshold), log(RATIO)
     one = sets.select("item", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = one.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    order = Window.partitionBy("item").orderBy("df", "token")
-    # A token of one set only takes its place in the order, but no part in the join.
+    # Tokens of one set only come first in its order; their number is enough, they take no part in the join.
+    own = Window.partitionBy("item")
     placed = (
-        one.join(often, "token", "left")
-        .withColumn("df", F.coalesce("df", F.lit(1)))
-        .withColumn("at", F.row_number().over(order))
-        .where(F.expr(f"df > 1 AND at <= n - ceil({t}D * n - 1e-9D) + 1"))
+        one.join(often, "token")
+        .withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")))
+        .where(F.expr(f"at <= n - ceil({t}D * n - 1e-9D) + 1"))
     )
     cls = lambda n: f"cast(floor(ln({n}) / {step}D) as int)"
     least = f"greatest(ceil({t}D * n - 1e-9D), 1)"
