@@ -163,31 +163,35 @@ class SpanIndex:
     """Runs of fingerprints of all records so far, for finding the spans that new records share with them.
 
     path: a folder in shared storage. An index that is there is opened and goes on with its own span and gram; without a path
-    the index lives until the process ends. The folder holds runs/ and manifests, of which the last one counts: an append or
+    the index lives until the process ends. The folder holds runs/ and manifests (which also say whether a run has rows of many
+    places), of which the last one counts: an append or
     a compaction that is lost with its driver leaves the index as it was before.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, gram: int = GRAM, fanout: int = 4):
         self.spark, self.path, self.span, self.gram, self.fanout = spark, path or scratch_path(spark, "span-index"), span, gram, fanout
-        self.version, self.buckets, self.names, self.runs = 0, 0, [], []
+        self.version, self.buckets, self.names, self.runs, self.heavy = 0, 0, [], [], {}
         while exists(spark, self._manifest(self.version + 1)):
             self.version += 1
         if self.version:
             known = json.loads(read_text(spark, self._manifest(self.version)))
-            self.span, self.gram, self.buckets, self.names = known["span"], known["gram"], known["buckets"], known["runs"]
+            self.span, self.gram, self.buckets, self.names = known["span"], known["gram"], known["buckets"], [*known["runs"]]
+            self.heavy = known["runs"]
             self.runs = [opened(spark, f"{self.path}/runs/{name}", ROW, "key", self.buckets) for name in self.names]
 
     def _manifest(self, version: int) -> str:
         return f"{self.path}/manifest-{version:06}.json"
 
     def _commit(self, names: list[str], runs: list[DataFrame]) -> None:
-        state = {"span": self.span, "gram": self.gram, "buckets": self.buckets, "runs": names}
+        state = {"span": self.span, "gram": self.gram, "buckets": self.buckets, "runs": {n: self.heavy[n] for n in names}}
         write_text(self.spark, self._manifest(self.version + 1), json.dumps(state))
         self.version, self.names, self.runs = self.version + 1, names, runs
 
     def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
         name = uuid4().hex
         run = bucketed(rows, f"{self.path}/runs/{name}", "key", self.buckets)
+        # Row groups without a salt are told by their statistics, so this costs little where nothing is heavy.
+        self.heavy[name] = run.where("salt <> 0").limit(1).count() > 0
         tidy(self.spark)
         return name, run
 
@@ -206,13 +210,17 @@ class SpanIndex:
             old = ends(run).select("key", F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}"))
             stats = stats.join(old.hint("merge"), "key", "left").select("key", F.least("low", f"low{k}").alias("low"), F.greatest("high", f"high{k}").alias("high"))
         shared = stats.where("low <> high").select("key")
-        # Row groups without a salt are told by their statistics, so this costs little where nothing is heavy.
-        if any(h.limit(1).count() for h in heavy):
+        heavy = [h for h, n in zip(heavy, [name, *self.names], strict=True) if self.heavy[n]]
+        if heavy:
             many = [h.select(fp.alias("key")).distinct() for h in heavy]
-            earlier = reduce(DataFrame.union, many[1:], many[0].limit(0)).distinct().join(light[0].select("key"), "key", "left_semi")
-            shared = written(shared.union(many[0]).union(earlier).distinct(), "span-shared")
+            own = many.pop(0) if self.heavy[name] else many[0].limit(0)
+            # Parted anew by hand: a union of bucketed scans says that it keeps their parts when the scans may have given them up.
+            earlier = reduce(DataFrame.union, many, own.limit(0)).repartition("key").distinct().join(light[0].select("key"), "key", "left_semi")
+            shared = shared.union(own).union(earlier).repartition("key").distinct()
+        # Written once for all runs: it is small beside them, and they keep their buckets when they meet it.
+        shared = written(shared, "span-shared")
         cols = [fp.alias("fp"), "ctx", "rec", "start", "n", "others"]
-        hits = [r.join(shared.hint("merge"), "key", "left_semi").select(*cols) for r in light]
+        hits = [r.join(shared, "key", "left_semi").select(*cols) for r in light]
         hits += [r.withColumn("fp", fp).join(shared.select(F.col("key").alias("fp")), "fp", "left_semi").select("fp", *cols[1:]) for r in heavy]
         found = written(reduce(DataFrame.unionByName, hits), "span-hits")
         self._commit([*self.names, name], [*self.runs, new])
@@ -220,6 +228,12 @@ class SpanIndex:
             self.compact()
         return found
 
+    def discard(self) -> None:
+        """Remove the index with all its runs."""
+        self.runs, self.names = [], []
+        remove(self.spark, self.path)
+        tidy(self.spark)
+
     def compact(self) -> None:
         """Merge all runs into one sorted run, rows of records that were delivered again only once, in more buckets if the
         rows ask for them; the runs before are removed."""
@@ -239,8 +253,11 @@ def shared_intervals(batches: list[DataFrame], span: int = SPAN, gram: int = GRA
     hits = index.append(batches[0])
     recs = batches[0]
     for b in batches[1:]:
+        tidy(spark)
         hits = hits.unionByName(index.append(b))
         recs = recs.unionByName(b)
+    # What was found is written; nothing will be asked of this index again.
+    index.discard()
     texts = written(
         hits.groupBy("fp", "ctx").agg(F.min(F.expr(_LOW)).alias("low"), F.max(F.expr(_HIGH)).alias("high"), F.min(F.struct("rec", "start", "n")).alias("rep")), "span-texts"
     )
@@ -257,6 +274,7 @@ def shared_intervals(batches: list[DataFrame], span: int = SPAN, gram: int = GRA
     )
     # A record delivered again in another task gives its windows twice; that changes no least and greatest record.
     places = written(recs.join(asked, "rec").groupBy("rec", "text").agg(F.first("asked").alias("asked")).mapInArrow(_windows(span), ASKED), "span-windows")
+    tidy(spark)
     same = (
         places.select("low", "high", F.explode("windows").alias("window"))
         .groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("greatest"))
