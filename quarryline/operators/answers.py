@@ -46,7 +46,7 @@ def quoted_again(cites: DataFrame, retrieved: DataFrame) -> DataFrame:
     cited chunk; the others stay. What an index that was built anew makes of citations of the one before."""
     cols = cites.columns
     both = cites.join(retrieved.select("chunk_id", F.col("content").alias("__content"), F.col("chunk_start").alias("__start")), "chunk_id", "left")
-    held = F.expr("char_start >= __start AND char_end <= __start + length(__content) AND char_start < char_end AND trim(source_quote) <> ''")
+    held = F.expr("char_start >= __start AND char_end <= __start + length(__content) AND char_start < char_end") & (norm_text(F.col("source_quote")) != "")
     now = F.when(held, F.expr("substring(__content, char_start - __start + 1, char_end - char_start)")).otherwise(F.col("source_quote"))
     return both.withColumn("source_quote", now).select(*cols)
 

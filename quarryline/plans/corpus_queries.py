@@ -234,7 +234,7 @@ def _norm(x: str) -> str:
 
 _V = f"""WITH a0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY loaded_at DESC) AS n FROM api WHERE citation_id IS NOT NULL) WHERE n = 1),
 c AS (SELECT id AS chunk_id, min(content) AS content, min(char_start) AS chunk_start, coalesce(min(char_end), min(char_start + length(content))) AS chunk_end FROM retrieve WHERE id IS NOT NULL GROUP BY id),
-a AS (SELECT 'earlier' AS build, * FROM a0 UNION ALL SELECT 'present' AS build, a0.* REPLACE (CASE WHEN char_start >= chunk_start AND char_end <= chunk_start + length(content) AND char_start < char_end AND trim(source_quote) <> ''
+a AS (SELECT 'earlier' AS build, * FROM a0 UNION ALL SELECT 'present' AS build, a0.* REPLACE (CASE WHEN char_start >= chunk_start AND char_end <= chunk_start + length(content) AND char_start < char_end AND {_norm('source_quote')} <> ''
  THEN substr(content, char_start - chunk_start + 1, char_end - char_start) ELSE source_quote END AS source_quote) FROM a0 LEFT JOIN c ON c.chunk_id = a0.chunk_id),
 v0 AS (SELECT a.*, c.content, c.chunk_start, c.chunk_end, CASE WHEN content IS NULL THEN '{A.UNKNOWN}' WHEN coalesce({_norm('source_quote')}, '') = '' THEN '{A.EMPTY}'
  WHEN NOT contains({_norm('content')}, {_norm('source_quote')}) THEN '{A.ABSENT}' END AS problem FROM a LEFT JOIN c ON c.chunk_id = a.chunk_id),

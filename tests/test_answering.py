@@ -55,9 +55,9 @@ def test_no_questions(spark):
 
 
 def test_quotes_taken_again(spark):
-    cites = spark.createDataFrame([(1, "c", "old", 2, 6), (2, "c", " ", 2, 6), (3, "c", "out", 8, 99), (4, "x", "gone", 0, 1), (5, "c", None, 2, 6)], "citation_id int, chunk_id string, source_quote string, char_start int, char_end int")
+    cites = spark.createDataFrame([(1, "c", "old", 2, 6), (2, "c", "\xa0", 2, 6), (3, "c", "out", 8, 99), (4, "x", "gone", 0, 1), (5, "c", None, 2, 6)], "citation_id int, chunk_id string, source_quote string, char_start int, char_end int")
     chunks = spark.createDataFrame([("c", "abcdefghij", 0, 10)], "chunk_id string, content string, chunk_start int, chunk_end int")
-    assert {r["citation_id"]: r["source_quote"] for r in A.quoted_again(cites, chunks).collect()} == {1: "cdef", 2: " ", 3: "out", 4: "gone", 5: None}
+    assert {r["citation_id"]: r["source_quote"] for r in A.quoted_again(cites, chunks).collect()} == {1: "cdef", 2: "\xa0", 3: "out", 4: "gone", 5: None}
 
 
 def test_blocks_against_difflib():
