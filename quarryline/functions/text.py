@@ -107,6 +107,12 @@ def shingles(text: Column, n: int = 5) -> Column:
     return bound(words(text), lambda w: F.when(F.size(w) >= n, F.array_distinct(windows(w))).when(w.isNotNull(), F.array().cast("array<string>")))
 
 
+def shingle_hashes(text: Column, n: int = 5) -> Column:
+    """As shingles(), a hash of each window in its place."""
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
+    return bound(words(text), lambda w: F.when(F.size(w) >= n, F.array_distinct(windows(w))).when(w.isNotNull(), F.array().cast("array<bigint>")))
+
+
 def own_serial(doc_id: Column, text: Column) -> Column:
     """The document's serial if it stands in the first 3000 code points with no digit beside it."""
     serial = doc_serial(doc_id)

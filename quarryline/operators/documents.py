@@ -46,9 +46,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.9
     unless they make their documents similar. Texts without windows pair with nothing.
     """
     texts = docs.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(key).alias("doc"), F.count("*").alias("copies"))
-    sets = texts.select("doc", "copies", T.shingles(F.col(text), n).alias("s")).where(F.size("s") > 0)
-    sets = written(sets.select("doc", "copies", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), "shingle-sets")
-    tokens = sets.select(F.col("doc").alias("item"), F.array_distinct("s").alias("tokens"))
+    # Filtered behind the writing: a filter on the windows before it would make them twice.
+    sets = written(texts.select("doc", "copies", T.shingle_hashes(F.col(text), n).alias("s")), "shingle-sets").where(F.size("s") > 0)
+    tokens = sets.select(F.col("doc").alias("item"), F.col("s").alias("tokens"))
     near = similar_pairs(tokens, written(prefix_pairs(tokens, threshold), "near-candidates"), threshold)
     side = lambda x: sets.select(F.col("doc").alias(x), F.col("copies").alias(f"copies_{x}"))
     named = near.join(side("a"), "a").join(side("b"), "b")

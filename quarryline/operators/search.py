@@ -31,7 +31,8 @@ def bm25(queries: DataFrame, query_id: str, query: str, docs: DataFrame, doc_id:
     only, counted before each shuffle. Null ids and null texts take no part."""
     terms = queries.where(F.col(query_id).isNotNull()).select(query_id, F.explode(F.array_distinct(words(F.col(query)))).alias("term")).distinct()
     split = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(doc_id, words(F.col(text)).alias("w"))
-    split = split.select(doc_id, F.size("w").alias("len"), "w")
+    # Written once: the texts are parted into words for the totals and for the postings.
+    split = written(split.select(doc_id, F.size("w").alias("len"), "w"), "words")
     whole = split.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     asked = terms.select("term").distinct()
     tf = split.select(doc_id, "len", F.explode("w").alias("term")).join(asked, "term").groupBy(doc_id, "len", "term").agg(F.count("*").alias("tf"))
