@@ -14,6 +14,8 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.shared import written
+
 #: The ratio of the greatest to the least size of a class.
 RATIO = 1 + 1 / 16
 
@@ -34,6 +36,8 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         .withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")))
         .where(F.expr(f"at <= n - ceil({t}D * n - 1e-9D) + 1"))
     )
+    # Both sides of the join read the prefixes; they are a part of the sets and are made once.
+    placed = written(placed, "prefixes")
     cls = lambda n: f"cast(floor(ln({n}) / {step}D) as int)"
     least = f"greatest(ceil({t}D * n - 1e-9D), 1)"
     each = placed.select(
