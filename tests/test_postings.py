@@ -2,11 +2,17 @@
 
 import os
 import random
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
 
 from quarryline.operators import search
+from quarryline.plans import registry
 from quarryline.shared import scratch, shared_dir
 from test_experiment import okapi
 
+DATA = Path("/root/testdata/sf0.001")
 WORDS = [f"w{i}" for i in range(30)]
 
 
@@ -48,3 +54,10 @@ def test_disk_is_less_than_the_texts(spark):
         rows = search.bm25(spark.createDataFrame(asked, "query_id int, q string"), "query_id", "q", spark.createDataFrame(docs, "id string, content string"), "id", "content").collect()
         assert len(rows) == 2000
         assert _size(shared_dir(spark).removeprefix("file://")) - before < sum(len(t) for _, t in docs)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+def test_every_question_is_searched(spark):
+    asked = spark.read.parquet(str(DATA / "designed_slice_final.parquet")).where(F.col("query_id").isNotNull() & (F.length("query_text") > 20))
+    found = registry.queries()["bm25_topk"](spark, str(DATA))
+    assert {r[0] for r in asked.select("query_id").collect()} == {r[0] for r in found.select("query_id").distinct().collect()}
