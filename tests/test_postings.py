@@ -2,12 +2,15 @@
 
 import os
 import random
+import zlib
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import search
+from quarryline.operators import experiment, search
 from quarryline.plans import registry
 from quarryline.shared import scratch, shared_dir
 from test_experiment import okapi
@@ -61,3 +64,15 @@ def test_every_question_is_searched(spark):
     asked = spark.read.parquet(str(DATA / "designed_slice_final.parquet")).where(F.col("query_id").isNotNull() & (F.length("query_text") > 20))
     found = registry.queries()["bm25_topk"](spark, str(DATA))
     assert {r[0] for r in asked.select("query_id").collect()} == {r[0] for r in found.select("query_id").distinct().collect()}
+
+
+def test_a_word_is_hashed_once_a_batch(monkeypatch):
+    """produce_runs: every word of every chunk was hashed on its own."""
+    rnd, hashed = random.Random(2), []
+    lists = [None, [], *(rnd.choices(WORDS, k=rnd.randrange(40)) for _ in range(200)), None]
+    crc = zlib.crc32
+    monkeypatch.setattr(experiment.zlib, "crc32", lambda w: hashed.append(w) or crc(w))
+    got = experiment.word_counts(pa.array(lists, pa.list_(pa.string()))[1:], 8)
+    assert len(hashed) == len(set(hashed)) == len(WORDS)
+    want = [None if w is None else np.log1p(np.bincount([crc(x.encode()) % 8 for x in w], minlength=8)).astype(np.float32).tolist() for w in lists[1:]]
+    assert got.to_pylist() == want
